@@ -154,3 +154,12 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         h = (h ^ words[j : n - k + 1 + j]) * _M1 + np.uint64(j + k)
         h ^= h >> np.uint64(29)
     return mix(h)
+
+
+#: Rows of 8-byte ids that may be broadcast: 16 MB of them.
+BROADCAST_IDS = 1_000_000
+
+
+def hinted(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """ids marked for broadcast if they are counted to be at most limit rows; beyond, Spark's own choice of join holds."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids

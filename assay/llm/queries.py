@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, pii, sentencepiece_viterbi
+from . import chat_format, decontaminate, language_id, near_dedup, pii, sentencepiece_viterbi
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_sentencepiece": sentencepiece_viterbi.op6_sentencepiece,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_pii": pii.op10_pii,
     }
 
