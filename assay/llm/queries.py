@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, near_dedup, pii, sentencepiece_viterbi
+from . import chat_format, decontaminate, html_extract, language_id, near_dedup, pii, quality, sentencepiece_viterbi
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_quality": quality.op2_quality,
         "op3_chat_format": chat_format.op3_chat_format,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_sentencepiece": sentencepiece_viterbi.op6_sentencepiece,
+        "op8_html_extract": html_extract.op8_html_extract,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_pii": pii.op10_pii,
     }
