@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, near_dedup, pii, quality, sentencepiece_viterbi
+from . import ann, chat_format, decontaminate, html_extract, language_id, near_dedup, pii, quality, sentencepiece_viterbi
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op2_quality": quality.op2_quality,
         "op3_chat_format": chat_format.op3_chat_format,
+        "op4_ann": ann.op4_ann,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_sentencepiece": sentencepiece_viterbi.op6_sentencepiece,
         "op8_html_extract": html_extract.op8_html_extract,
