@@ -230,15 +230,15 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = 20, id_col:
         a, b, c = (np.concatenate(z) for z in zip(*out))
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 
-    def meet(questions):
+    def meet(questions, name):
         # queries of one shard go in blocks, so a group holds a shard and at most a block of them on average
         block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(n / every / QUERY_BLOCK)))).cast("int")
-        questions = questions.withColumn("block", block)
-        used = questions.select("cell", "salt", "block").distinct()
+        questions = written(questions.withColumn("block", block), f"{path}/{name}")
+        used = written(questions.select("cell", "salt", "block").distinct(), f"{path}/{name}_shards")
         shards = base.join(used, ["cell", "salt"])
         return shards.groupBy("cell", "salt", "block").cogroup(questions.groupBy("cell", "salt", "block")).applyInPandas(searched, OUT)
 
-    first = written(meet(arrow_map(queries, home, asked)), f"{path}/first")
+    first = written(meet(arrow_map(queries, home, asked), "asked"), f"{path}/first")
     kth = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("s"))
     bounded = queries.join(kth, "query_id", "left").select("query_id", "qx", "qp", F.when(F.col("c") >= k, F.col("s")).alias("s"))
 
@@ -252,7 +252,7 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = 20, id_col:
             salt = np.concatenate([np.arange(z) for z in salts[go]]) if len(go) else np.zeros(0, np.int64)
             yield {"query_id": np.full(len(cells), ids[i]), "qx": [qx] * len(cells), "qp": [qp] * len(cells), "cell": cells, "salt": salt, "bound": np.full(len(cells), bound)}
 
-    second = meet(arrow_map(bounded, spread, asked))
+    second = meet(arrow_map(bounded, spread, asked), "spread")
     # a shard of the first round is searched again, so the second alone has all
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return second.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
