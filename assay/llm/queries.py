@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, decontaminate, html_extract, language_id, near_dedup, pii, quality, sentencepiece_viterbi
+from . import ann, chat_format, decontaminate, html_extract, language_id, near_dedup, pii, quality, sentencepiece_viterbi, suffix_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_ann": ann.op4_ann,
         "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_sentencepiece": sentencepiece_viterbi.op6_sentencepiece,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_pii": pii.op10_pii,
