@@ -1,3 +1,11 @@
 """assay: a PySpark-native engine that tries to disprove a trading signal."""
 
+from assay.operators.portfolio import Spec
+from assay.operators.universe import Universe
+from assay.operators.walkforward import make_windows, walk_forward
+from assay.prereg import Lock, Preregistration
+from assay.report import Finding, Report
+from assay.study import Study
+
 __version__ = "0.1.0"
+__all__ = ["Finding", "Lock", "Preregistration", "Report", "Spec", "Study", "Universe", "make_windows", "walk_forward"]
