@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hinted, mix, scratch_dir, shingle_hashes, table, word_hashes, written
+from .common import arrow_map, hinted, mix, powers, scratch_dir, shingle_hashes, table, word_hashes, written
 from .graph import components
 
 WORDS = 5
@@ -95,6 +95,13 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
+def fingerprint(words: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a sequence."""
+    up = powers(len(words))[0]
+    both = np.array([(mix(words + np.uint64(k)) * up).sum(dtype=np.uint64) + np.uint64(len(words)) for k in (1, 2)], np.uint64)
+    return tuple(mix(both).view(np.int64).tolist())
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, a 128-bit fingerprint of the words (null for null and empty texts), and the signature (null without words)."""
 
@@ -107,15 +114,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for i, t in enumerate(part):
                 w = words[at[i] : at[i + 1]]
                 if len(w):
-                    w2 = mix(w ^ np.uint64(0x5851F42D4C957F2D))
-                    f = (shingle_hashes(w, len(w))[0], shingle_hashes(w2, len(w2))[0])
+                    f = fingerprint(w)
                 elif t:
-                    raw = np.frombuffer(t.encode("utf-8", "replace"), np.uint8).astype(np.uint64)
-                    f = (shingle_hashes(mix(raw + np.uint64(7)), len(raw))[0], shingle_hashes(mix(raw + np.uint64(9)), len(raw))[0])
+                    f = fingerprint(np.frombuffer(t.encode("utf-8", "replace"), np.uint8).astype(np.uint64) + np.uint64(7))
                 else:
                     f = None
-                one.append(None if f is None else int(f[0].view(np.int64)))
-                two.append(None if f is None else int(f[1].view(np.int64)))
+                one.append(None if f is None else f[0])
+                two.append(None if f is None else f[1])
                 has.append(len(w) > 0)
                 sets.append(shingle_set(w) if len(w) else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             sig = dart_signatures(sets)
