@@ -6,9 +6,9 @@ darts. Of each coordinate the earliest dart is kept. Ranks come in doubling rang
 about k ln k darts in all. Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Exact copies (equal words) are first folded to one representative. Signatures of representatives are banded; each bucket links its members to its
-least member (a star, never all pairs). What is not surely similar or dissimilar by signature is verified on the texts. Pairs of a bucket
-that the stars left in different components are then all tried: by a self-join in small buckets, in blocks of
-bounded size in large ones. So no link that banding finds is lost, whatever the size of a bucket.
+least member (a star, never all pairs). What is not surely similar or dissimilar by signature is verified on the texts. Two more rounds of stars
+have other centres, for members outside their bucket's main component. What is still outside is compared with all members of the bucket, in blocks of
+bounded size. So no link that banding finds is lost, whatever the size of a bucket.
 
 With 32 bands of 5 of 160 coordinates, a pair of similarity 0.8 shares no bucket with probability 3e-6.
 
@@ -34,8 +34,10 @@ K = 160
 BANDS = 32
 #: Signatures agreeing in less than LOW of their coordinates are dissimilar and from HIGH on similar, both by over 4 standard deviations.
 LOW, HIGH = 0.66, 0.95
-#: Members of a bucket whose pairs a self-join may form; beyond it blocks of as many members do.
-SMALL_BUCKET, BLOCK = 64, 256
+#: Rounds of stars with new centres, before all that is left is compared.
+STAR_ROUNDS = 2
+#: Members of a bucket that meet in one task: outsiders, and all.
+ROWS, COLUMNS = 512, 2048
 FIRST_RANGE = -7  # ranks below 2**-7 are the first range
 
 
@@ -181,31 +183,73 @@ def verified(scored: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     return written(scored.where(F.col("est") >= HIGH).select("a", "b").union(exact), f"{path}/links")
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components with agreeing signatures in buckets of any size: members (band, key, n, node, comp, sig) meet in blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+def mixed_buckets(members: DataFrame, label: DataFrame, path: str) -> DataFrame:
+    """Rows (band, key, node, comp, main) of the buckets that hold several components; main is the component with most members there."""
+    placed = members.join(label, "node", "left").select("band", "key", "node", F.coalesce("label", "node").alias("comp"))
+    parts = written(placed.groupBy("band", "key", "comp").agg(F.count("*").alias("c")), f"{path}/parts")
+    main = parts.groupBy("band", "key").agg(F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.count("*").alias("z")).where("z > 1")
+    return written(placed.join(main.select("band", "key", "main"), ["band", "key"]), f"{path}/mixed")
 
-    def pairs(pdf):
-        import pandas as pd
 
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), K)
-        node, comp, block = pdf["node"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
-        one, two = np.flatnonzero(block == pdf["lo"].iloc[0]), np.flatnonzero(block == pdf["hi"].iloc[0])
-        a, b, est = [], [], []
-        for i in one:
-            far = two[(comp[two] != comp[i]) & (node[two] != node[i])]
-            e = (sig[far] == sig[i]).mean(axis=1)
-            far, e = far[e >= LOW], e[e >= LOW]
-            a.append(np.minimum(node[i], node[far]))
-            b.append(np.maximum(node[i], node[far]))
-            est.append(e)
-        empty = np.zeros(0)
-        return pd.DataFrame({"a": np.concatenate(a or [empty]).astype("int64"), "b": np.concatenate(b or [empty]).astype("int64"), "est": np.concatenate(est or [empty])})
+def exact_links(mixed: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+    """Links that join components, from all pairs of a bucket's members outside its main component with all its members.
+
+    Outsiders go in blocks of ROWS, members in chunks of COLUMNS; a task has one of each, with their texts, takes all their similarities at
+    once as matrix products, and returns what joins components: fewer links than it has members."""
+    out = F.col("comp") != F.col("main")
+    size = mixed.groupBy("band", "key").agg(F.count("*").alias("n"), F.count_if(out).alias("m"))
+    size = size.select("band", "key", F.ceil(F.col("m") / ROWS).cast("int").alias("blocks"), F.ceil(F.col("n") / COLUMNS).cast("int").alias("chunks"))
+    m = mixed.join(size, ["band", "key"])
+    pick = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = m.where(out).select("band", "key", "node", "comp", F.lit(True).alias("row"), pick("blocks", 1).alias("block"), every("chunks").alias("chunk"))
+    cols = m.select("band", "key", "node", "comp", F.lit(False).alias("row"), every("blocks").alias("block"), pick("chunks", 2).alias("chunk"))
+    need = written(mixed.select(F.col("node").alias("doc_id")).distinct(), f"{path}/exact_need")
+    texts = docs.join(hinted(need), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).withColumnRenamed("doc_id", "node")
+
+    def link(pdf):
+        import pandas as pd
 
-    return dealt.groupBy("band", "key", "lo", "hi").applyInPandas(pairs, "a long, b long, est double")
+        rows, cols = pdf[pdf["row"]], pdf[~pdf["row"]]
+        sets, comps, at = {}, dict(zip(pdf["node"], pdf["comp"])), {}
+        for node, text in zip(pdf["node"], pdf["text"]):
+            if node not in sets:
+                words, _ = word_hashes([text])
+                h, w = shingle_set(words)
+                copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                sets[node] = mix(np.repeat(h, w) + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        a, b = rows["node"].tolist(), cols["node"].tolist()
+        cells, both = np.unique(np.concatenate([sets[x] for x in sets]), return_counts=True)
+        cells = cells[both > 1]  # what one text alone has is in no intersection
+        inter = np.zeros((len(a), len(b)), np.float32)
+        for lo in range(0, len(cells), 8192):
+            part = cells[lo : lo + 8192]
+
+            def matrix(nodes):
+                x = np.zeros((len(nodes), len(part)), np.float32)
+                for i, node in enumerate(nodes):
+                    k = np.minimum(np.searchsorted(part, sets[node]), len(part) - 1)
+                    x[i, k[part[k] == sets[node]]] = 1
+                return x
+
+            inter += matrix(a) @ matrix(b).T
+        na, nb = (np.array([len(sets[x]) for x in z], np.float64) for z in (a, b))
+        near = inter >= SIMILARITY * (na[:, None] + nb[None, :] - inter)
+        found = []
+
+        def root(c):
+            while at.get(c, c) != c:
+                c = at[c]
+            return c
+
+        for i, j in zip(*np.nonzero(near)):
+            x, y = root(comps[a[i]]), root(comps[b[j]])
+            if x != y and a[i] != b[j]:
+                at[max(x, y)] = min(x, y)
+                found.append((a[i], b[j]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return rows.unionByName(cols).join(texts, "node").groupBy("band", "key", "block", "chunk").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,18 +269,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.join(hinted(written(members.select("node").distinct(), f"{path}/near")), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
     nodes = written(nodes, f"{path}/nodes")
     stars = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(estimated(stars, nodes), docs, f"{path}/stars")
+    links = verified(estimated(stars, nodes), docs, f"{path}/stars0")
     label = components(links, f"{path}/first")
-    placed = members.join(label, "node", "left").select("band", "key", "n", "node", F.coalesce("label", "node").alias("comp"))
-    placed = written(placed, f"{path}/placed")
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band", "key")
-    mixed = written(placed.join(mixed, ["band", "key"], "left_semi"), f"{path}/mixed")
-    small = mixed.where(F.col("n") <= SMALL_BUCKET)
-    x, y = small.select("band", "key", F.col("node").alias("a"), F.col("comp").alias("ca")), small.select("band", "key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    few = x.join(y, ["band", "key"]).where("a < b and ca <> cb").select("a", "b").distinct()
-    many = _block_pairs(mixed.where(F.col("n") > SMALL_BUCKET).join(nodes, "node"))
-    rest = verified(estimated(few, nodes).union(many).distinct(), docs, f"{path}/rest")
-    label = components(written(links.union(rest), f"{path}/links"), f"{path}/second")
+    mixed = mixed_buckets(members, label, f"{path}/mixed0")
+    for step in range(1, STAR_ROUNDS + 1):
+        if not mixed.limit(1).count():
+            break
+        # another member of the main component is the centre now, for those that are outside it
+        centre = mixed.where("comp = main").groupBy("band", "key").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(step))).alias("a"))
+        stars = mixed.where("comp <> main").join(centre, ["band", "key"]).select("a", F.col("node").alias("b")).distinct()
+        more = verified(estimated(stars, nodes), docs, f"{path}/stars{step}")
+        links = written(links.union(more), f"{path}/links{step}")
+        label = components(links, f"{path}/round{step}")
+        mixed = mixed_buckets(members, label, f"{path}/mixed{step}")
+    if mixed.limit(1).count():
+        links = written(links.union(exact_links(mixed, docs, path)), f"{path}/links")
+        label = components(links, f"{path}/second")
     named = folded.select("f1", "f2", F.col("node").alias("text_id")).join(label.withColumnRenamed("node", "text_id"), "text_id", "left")
     named = named.select("f1", "f2", "text_id", F.coalesce("label", "text_id").alias("class_id"))
     out = seen.select("doc_id", "f1", "f2").join(named, ["f1", "f2"], "left")
