@@ -42,9 +42,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch. Texts and signatures are long, and a batch is held in the JVM and in Python at once.
+BATCH_ROWS = "1000"
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """df.mapInArrow of a function from a batch to dicts of columns, cast to schema (DDL)."""
     out = _arrow_schema(schema)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches):
         for batch in batches:
