@@ -68,22 +68,26 @@ def daily(m: Market, w: DataFrame, runs: DataFrame) -> DataFrame:
     ids = runs.select("run_id")
     ends = m.schedule.select("period", "i_exec", "i_next")
     held = w.join(m.growth, ["period", "asset"])
-    book = held.groupBy("run_id", "period", "t", "i").agg((1 + F.sum(F.col("w0") * (F.col("g") - 1))).alias("v"))
-    drifted = held.join(book.select("run_id", "period", "i", "v"), ["run_id", "period", "i"]).withColumn("wt", ratio(F.col("w0") * F.col("g"), F.col("v")))
-    drifted = drifted.join(F.broadcast(ends), "period")
+    # one shuffle by (run, period, day) serves the book's value, its drifted weights and its count
+    value = 1 + F.sum(F.col("w0") * (F.col("g") - 1)).over(W.partitionBy("run_id", "period", "i"))
+    held = held.withColumn("v", value).withColumn("wt", ratio(F.col("w0") * F.col("g"), F.col("v")))
+    book = held.groupBy("run_id", "period", "i").agg(F.max("v").alias("v"), F.count_if(F.abs("wt") > 1e-9).alias("n"))
     before = F.lag("v").over(W.partitionBy("run_id", "period").orderBy("i"))
-    gross = book.withColumn("gross", ratio(F.col("v"), before) - 1).where("gross is not null").select("run_id", "i", "gross")
-    count = drifted.where("i_next is null or i < i_next").groupBy("run_id", "i").agg(F.sum(F.when(F.abs("wt") > 1e-9, 1).otherwise(0)).alias("n_positions"))
-    sold = drifted.where("i = i_next").select("run_id", (F.col("period") + 1).alias("period"), "asset", (-F.col("wt")).alias("x"))
+    book = book.withColumn("gross", ratio(F.col("v"), before) - 1).join(F.broadcast(ends), "period")
+    none = F.lit(None).cast("double")
+    # on an execution day the return is the old book's and the count the new one's
+    days_of = book.select("run_id", "i", "gross", none.alias("turnover"), F.when(F.col("i_next").isNull() | (F.col("i") < F.col("i_next")), F.col("n")).alias("n_positions"))
+    sold = held.join(F.broadcast(ends), "period").where("i = i_next").select("run_id", (F.col("period") + 1).alias("period"), "asset", (-F.col("wt")).alias("x"))
     traded = w.select("run_id", "period", "asset", F.col("w0").alias("x")).unionByName(sold).groupBy("run_id", "period", "asset").agg(F.sum("x").alias("x"))
     traded = traded.groupBy("run_id", "period").agg(F.sum(F.abs("x")).alias("turnover"))
-    traded = traded.join(F.broadcast(ends), "period").select("run_id", F.col("i_exec").alias("i"), "turnover")
+    traded = traded.join(F.broadcast(ends), "period").select("run_id", F.col("i_exec").alias("i"), none.alias("gross"), "turnover", F.lit(None).cast("long").alias("n_positions"))
+    moved = days_of.unionByName(traded).groupBy("run_id", "i").agg(F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover"), F.max("n_positions").alias("n_positions"))
     live = w.join(F.broadcast(ends), "period").groupBy("run_id").agg(F.min("i_exec").alias("first_live"))
     days = ids.crossJoin(F.broadcast(m.calendar))  # each run has each date
     days = days.join(live, "run_id", "left").where("first_live is null or i >= first_live")
-    out = days.join(gross, ["run_id", "i"], "left").join(traded, ["run_id", "i"], "left").join(count, ["run_id", "i"], "left")
+    out = days.join(moved, ["run_id", "i"], "left")
     zero = F.lit(0.0)
-    return out.select("run_id", "t", F.coalesce("gross", zero).alias("gross"), F.coalesce("turnover", zero).alias("turnover"), F.coalesce("n_positions", F.lit(0)).cast("long").alias("n_positions"))
+    return out.select("run_id", "t", F.coalesce("gross", zero).alias("gross"), F.coalesce("turnover", zero).alias("turnover"), F.coalesce("n_positions", F.lit(0).cast("long")).alias("n_positions"))
 
 
 def net(days: DataFrame, cost_bps) -> DataFrame:
