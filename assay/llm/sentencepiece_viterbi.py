@@ -129,15 +129,16 @@ class StreamingViterbi:
 
     def feed(self, data: bytes):
         self.buf += data
-        yield from self._advance(len(self.buf) - self.v.longest - 4)
+        # a position can be extended once all that a piece from it may span is there
+        yield from self._advance(self.base + len(self.buf) - self.v.longest - 4)
 
     def finish(self):
-        yield from self._advance(len(self.buf))
+        yield from self._advance(self.base + len(self.buf))
         yield from self._commit(self.base + len(self.buf))
 
     def _advance(self, limit: int):
         v, checked = self.v, 0
-        while self.done - self.base < limit:
+        while self.done < limit:
             at = self.done - self.base
             if self.done in self.best:
                 score = self.best[self.done][0]

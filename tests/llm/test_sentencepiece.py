@@ -66,7 +66,7 @@ def test_equals_full_lattice(v, text):
 
 
 def test_equals_library_on_known_characters(v):
-    """The library, told that the vocabulary is a unigram one, on texts whose characters all are pieces."""
+    """The library, told that the vocabulary is a unigram one, by its exact best-path search, on texts whose characters all are pieces."""
     import sentencepiece
 
     model = open(S.MODEL, "rb").read()
@@ -74,7 +74,7 @@ def test_equals_library_on_known_characters(v):
     lib = sentencepiece.SentencePieceProcessor()
     lib.LoadFromSerializedProto(model[: at + 7] + b"\x01" + model[at + 8 :])
     for t in ("hello there friend", "Of the and that from", "une maison dans la ville", "thwherstion andering"):
-        assert S.encode_batch(v, [t])[0].tolist() == lib.encode(t)
+        assert S.encode_batch(v, [t])[0].tolist() == lib.nbest_encode_as_ids(t, 2)[0]
 
 
 def test_window_stays_bounded(v):
