@@ -105,8 +105,10 @@ _TRIGGER = re.compile(
 )
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|\ dot\ |_dot_)"
+# Endings that a bare "name at host dot end" must have, as prose has these words too.
+_ENDS = "com|org|net|edu|gov|info|biz|io|eu|de|fr|es|uk|it|ch|at|us|co|me|test|example|invalid"
 _TOKEN = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\ at\ (?=[a-z0-9-]{{1,63}}{_DOT}[a-z0-9]))"
+    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\ at\ (?=(?:[a-z0-9-]{{1,63}}(?:{_DOT}|\.)){{1,4}}(?:{_ENDS})\b))"
     rf"|(?P<dot>(?<=[a-z0-9]){_DOT}(?=[a-z0-9]))"
     rf"|(?P<plus>\bplus\ (?=(?:{_WORDS}|[0-9])\b))"
     rf"|(?P<word>(?:(?<=[0-9])|\b)(?:{_WORDS})\b(?:(?={_SEP}(?:(?:{_WORDS})\b|[0-9]))|(?<=[^\W_])))"
