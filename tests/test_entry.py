@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from conftest import ROOT, rows
+from compare import ROOT, rows
 
 CHEAP = ["panel_weekly", "simple_returns", "rolling_vol", "momentum_zscore", "exec_schedule", "selection_legs", "daily_backtest", "perm_assignment", "decile_returns", "rank_ic", "universe_mask", "inverse_vol_weights", "bootstrap_quantiles", "verdict_table", "benchmark_returns"]
 
