@@ -41,7 +41,7 @@ def test_many_cells_salts_and_copies(spark):
     """Clusters of unequal length, and a vector that a third of the rows share: small cells, so that all rounds and salts are used."""
     rng = np.random.default_rng(2)
     x = rng.normal(size=(8, 12))[rng.integers(0, 8, 900)] * 2 + rng.normal(size=(900, 12)) * 0.3
-    x[::3] = x[0]
+    x[::3] = x[0] * 3
     ids = np.arange(900)
     want, got = brute(ids, x, 5), found(A.nearest(frame(spark, ids, x), k=5, cell_rows=40))
     assert want.keys() == got.keys()

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from assay.llm import chat_format as C
-from conftest import rows
+from compare import rows
 
 
 @given(st.text(alphabet="<>/s[]INTSs␛ab ", max_size=40))
