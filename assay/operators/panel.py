@@ -52,7 +52,7 @@ def calendar(prices: DataFrame) -> DataFrame:
 
 def densify(prices: DataFrame) -> DataFrame:
     """(t, asset, price) for every date and asset of the panel."""
-    grid = prices.select("t").distinct().crossJoin(prices.select("asset").distinct())  # the panel's own shape, not a join of tables
+    grid = prices.select("asset").distinct().crossJoin(F.broadcast(prices.select("t").distinct())).select("t", "asset")  # the panel's own shape; dates are few
     return grid.join(prices, ["t", "asset"], "left")
 
 

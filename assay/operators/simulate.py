@@ -104,6 +104,11 @@ class Result:
     weights: DataFrame
     market: Market
 
+    def weights_wide(self, run_id: str = "base") -> DataFrame:
+        """One run's targets as execution dates x assets, 0 where nothing is held: for panels whose assets fit a row."""
+        w = self.weights.where(F.col("run_id") == run_id)
+        return w.groupBy("t_exec").pivot("asset").agg(F.first("w")).na.fill(0.0).orderBy("t_exec")
+
 
 def run_many(m: Market, scores: DataFrame, specs: dict[str, Spec], mask: DataFrame | None = None) -> Result:
     """All runs in one plan. scores: (run_id, t, asset, score). The specs' rebalance, execution_lag, vol_window and gates are the market's."""

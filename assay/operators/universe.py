@@ -38,7 +38,8 @@ class Universe:
 
     def mask(self, dates: DataFrame, assets: DataFrame) -> DataFrame:
         """(t, asset, eligible) for every date and asset. Assets that no snapshot knows never are eligible."""
-        grid = dates.select(F.col("t").cast("date").alias("t")).distinct().crossJoin(assets.select("asset").distinct())  # the mask's own shape
+        days = dates.select(F.col("t").cast("date").alias("t")).distinct()
+        grid = assets.select("asset").distinct().crossJoin(F.broadcast(days))  # the mask's own shape; dates are few
         members = self.stamped(dates).join(self.snapshots, "valid_from").select("t", F.explode("tickers").alias("asset")).distinct()
         return grid.join(members.withColumn("_in", F.lit(True)), ["t", "asset"], "left").select("t", "asset", F.coalesce("_in", F.lit(False)).alias("eligible"))
 

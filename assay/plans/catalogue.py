@@ -89,6 +89,10 @@ def risk_adj_momentum(spark, d):
     return rnd(S.risk_adjusted_momentum(densify(supplier_weeks(spark, d)), Q.LOOKBACK, Q.SKIP, 26, 20, Q.ANN), "score")
 
 
+def noise_scores(spark, d):
+    return rnd(S.noise(densify(supplier_weeks(spark, d)), 7), "score")
+
+
 def rebalance_dates_(spark, d):
     return rebalance_dates(calendar(supplier_weeks(spark, d)))
 
@@ -288,7 +292,7 @@ def study_findings(spark, d):
 def queries() -> dict:
     return {
         "panel_weekly": panel_weekly, "simple_returns": simple_returns, "forward_returns": forward_returns_, "rolling_vol": rolling_vol_, "momentum_zscore": momentum_zscore,
-        "risk_adj_momentum": risk_adj_momentum, "rebalance_dates": rebalance_dates_, "exec_schedule": exec_schedule, "selection_legs": selection_legs, "equal_weights": equal_weights,
+        "risk_adj_momentum": risk_adj_momentum, "noise_scores": noise_scores, "rebalance_dates": rebalance_dates_, "exec_schedule": exec_schedule, "selection_legs": selection_legs, "equal_weights": equal_weights,
         "inverse_vol_weights": inverse_vol_weights, "daily_backtest": daily_backtest, "headline_metrics": headline_metrics, "drawdown_path": drawdown_path, "lookahead_canary": lookahead_canary,
         "perm_assignment": perm_assignment, "perm_sharpes": perm_sharpes, "perm_pvalue": perm_pvalue, "subuniverse_draws": subuniverse_draws, "breadth_sharpes": breadth_sharpes,
         "breadth_medians": breadth_medians, "param_grid_sharpes": param_grid_sharpes, "plateau_summary": plateau_summary, "cost_curve": cost_curve, "cost_breakeven": cost_breakeven,
@@ -399,6 +403,8 @@ def oracle_sql() -> dict[str, str]:
             v26=(["rets"], f"SELECT *, CASE WHEN count(ret) OVER w >= 20 THEN stddev_samp(ret) OVER w * sqrt({Q.ANN}) END AS vol FROM rets WINDOW w AS (PARTITION BY asset ORDER BY i ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)"),
             adj=(["v26"], f"SELECT t, asset, (lag(price, {Q.SKIP}) OVER w / lag(price, {Q.SKIP + Q.LOOKBACK}) OVER w - 1) / nullif(vol, 0) AS raw FROM v26 WINDOW w AS (PARTITION BY asset ORDER BY i)"),
             zs=(["adj"], "SELECT t, asset, (raw - avg(raw) OVER (PARTITION BY t)) / nullif(stddev_samp(raw) OVER (PARTITION BY t), 0) AS z FROM adj")),
+        "noise_scores": q(f"SELECT t, asset, {r('sqrt(-2 * ln((a + 0.5) / 1099511627776)) * cos(6.283185307179586 * (b + 0.5) / 1099511627776)')} AS score FROM u",
+            u=(["grid"], "SELECT t, asset, " + ", ".join(f"CAST('0x' || substr(md5(concat_ws('|', 7, '{x}', t, asset)), 1, 15) AS BIGINT) % 1099511627776 AS {x}" for x in "ab") + " FROM grid")),
         "rebalance_dates": q("SELECT t FROM reb", "reb"),
         "exec_schedule": q("SELECT period, t_signal, t_exec, i_exec, t_next FROM sched", "sched"),
         "selection_legs": q("SELECT z.t, z.asset, CAST(z.side AS BIGINT) AS side, z.n_leg FROM sized z JOIN sched d ON d.t_signal = z.t", "sized", "sched"),
