@@ -153,19 +153,20 @@ def _by_window(contexts: DataFrame, length: int, path: str) -> DataFrame:
             yield {"h": h.view(np.int64), "c": c[which], "n": n[which], "key": key[which], "s": start}
 
     rows = written(arrow_map(contexts, windows, "h long, c long, n long, key long, s int"), f"{path}/windows")
-    shared = rows.groupBy("h", "c").agg(F.count("*").alias("z")).where("z > 1").select("h", "c")
+    shared = written(rows.groupBy("h", "c").agg(F.count("*").alias("z")).where("z > 1").select("h", "c"), f"{path}/same")
     return rows.where("n = 1").join(shared, ["h", "c"], "left_semi").select("key", "s", (F.col("s") + length).alias("e"))
 
 
 def repeated_intervals(docs: DataFrame, path: str, length: int = LENGTH, context: int = CONTEXT, hot_group: int = HOT_GROUP) -> DataFrame:
     """(key, s, e): byte intervals of the texts, overlapping, whose union is what repeated windows cover. docs: key, text."""
     first = written(all_records(docs, length, context), f"{path}/records")
-    shared = first.groupBy("c").agg(F.count("*").alias("z")).where("z > 1").select("c")
-    second = written(first.join(shared, "c", "left_semi"), f"{path}/second")
+    # counts are written before they are joined: Spark splits a large key only where both sides come from a shuffle of their own
+    shared = written(first.groupBy("c").agg(F.count("*").alias("z")).where("z > 1").select("c"), f"{path}/shared")
+    second = written(first.join(shared, "c"), f"{path}/second")
     groups = second.groupBy("c", "r").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "a")).alias("m"))
     groups = written(groups.select("c", "r", "n", "m.*"), f"{path}/groups")
-    whole = second.join(groups.where("n > 1").select("c", "r"), ["c", "r"], "left_semi").select("key", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    several = groups.groupBy("c").agg(F.count("*").alias("z")).where("z > 1")
+    whole = second.join(groups.where("n > 1").select("c", "r"), ["c", "r"]).select("key", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    several = written(groups.groupBy("c").agg(F.count("*").alias("z")).where("z > 1"), f"{path}/several")
     third = written(groups.join(several, "c").select("c", "n", "key", "lo", "hi", "a", "z"), f"{path}/third")
     # of one row for each key, whatever the number of equal rows
     asked = third.groupBy("key").agg(F.collect_list(F.struct("c", "n", "lo", "hi", "a", "z")).alias("asked"))
