@@ -22,6 +22,7 @@ from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -298,7 +299,7 @@ def segment_words(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 def encode_batch(v: Vocabulary, texts: list[str | None]) -> list[np.ndarray]:
@@ -376,15 +377,17 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     def run(batch):
         v = vocabulary(shared.value)
         texts = batch.column("text")
-        for lo in range(0, batch.num_rows, 512):
-            part = texts.slice(lo, 512).to_pylist()
+        for lo in range(0, batch.num_rows, 128):
+            part = texts.slice(lo, 128).to_pylist()
             ids = encode_batch(v, part)
-            lists = [x.tolist() for x in ids]
-            back = [decode(v, x) for x in lists]
-            yield {
-                "doc_id": batch.column("doc_id").slice(lo, 512), "n_ids": [len(x) for x in lists], "ids": lists,
-                "decoded_sha256": [sha256(x.encode()).hexdigest() for x in back], "exact": [x == (t or "") for x, t in zip(back, part)],
-            }
+            ends = np.cumsum([0, *map(len, ids)])
+            digests, exact = [], []
+            for t, x in zip(part, ids):
+                back = decode(v, x.tolist())
+                digests.append(sha256(back.encode("utf-8", "replace")).hexdigest())
+                exact.append(back == (t or ""))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+            yield {"doc_id": batch.column("doc_id").slice(lo, 128), "n_ids": np.diff(ends), "ids": lists, "decoded_sha256": digests, "exact": exact}
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, ENCODED)
 
