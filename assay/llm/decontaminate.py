@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, shingle_hashes, table, word_hashes
 
 MIN_MATCH = 5
-COVERAGE = 0.6
+COVERAGE = 0.5
 BLOCK_CHARS = 32_000_000
 
 
