@@ -98,23 +98,32 @@ DIGIT_WORDS = {
 }
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SEP = r"[ \t,.\-]{1,3}"
-_TRIGGER = re.compile(
-    r"[^\x00-\xff]|[\xad\xa0\xb2\xb3\xb7\xb9]"
-    r"|(?i:[\[({<]\s{0,3}(?:at|@|dot|punkt|point|punto|\.)\s{0,3}[\])}>]|[a-z0-9]_(?:at|dot)_[a-z0-9]|[a-z0-9] dot [a-z0-9])"
-    rf"|(?i:\b(?:{_WORDS}){_SEP}(?:{_WORDS}|[0-9])|[0-9]{_SEP}(?:{_WORDS})\b)"
-)
+# What a disguise needs. Patterns that begin with a set of characters scan fast, so there are four of them, three on lower case.
+_ODD = re.compile(r"[^\x00-\xff]|[\xad\xa0\xb2\xb3\xb7\xb9]|[0-9][OoIl|]|[OIl|][0-9]")
+_MARKS = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|punkt|point|punto|\.)\s{0,3}[\])}>]|_(?:at|dot)_| (?:dot|@) ")
+_SPELLED = re.compile(rf"\W(?:{_WORDS}){_SEP}(?:{_WORDS}|[0-9])|[0-9]{_SEP}(?:{_WORDS})\b")
+
+
+def may_hide(text: str) -> bool:
+    """False only if no transducer would change the text."""
+    low = text.lower()
+    return bool(_ODD.search(text) or _MARKS.search(low) or _SPELLED.search(f" {low}"))
+
+
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|\ dot\ |_dot_)"
 # Endings that a bare "name at host dot end" must have, as prose has these words too.
 _ENDS = "com|org|net|edu|gov|info|biz|io|eu|de|fr|es|uk|it|ch|at|us|co|me|test|example|invalid"
 _TOKEN = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\ at\ (?=(?:[a-z0-9-]{{1,63}}(?:{_DOT}|\.)){{1,4}}(?:{_ENDS})\b))"
+    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\ at\ (?=[a-z0-9-]{{1,63}}(?:\.[a-z0-9-]{{1,63}}){{0,3}}{_DOT}(?:[a-z0-9-]{{1,63}}(?:{_DOT}|\.)){{0,3}}(?:{_ENDS})\b)|(?<=[a-z0-9])\ @\ (?=[a-z0-9]))"
     rf"|(?P<dot>(?<=[a-z0-9]){_DOT}(?=[a-z0-9]))"
+    r"|(?P<digits>(?<![^\W_])(?=[OoIl|]{0,18}[0-9])(?=[0-9]{0,18}[OoIl|])[0-9OoIl|]{2,19}(?![^\W_]))"
     rf"|(?P<plus>\bplus\ (?=(?:{_WORDS}|[0-9])\b))"
     rf"|(?P<word>(?:(?<=[0-9])|\b)(?:{_WORDS})\b(?:(?={_SEP}(?:(?:{_WORDS})\b|[0-9]))|(?<=[^\W_])))"
     r"|(?P<char>[^\x00-\x7f])",
     re.I,
 )
+_GAP = re.compile(rf"({_SEP})(?:{_WORDS})\b", re.I)
 _AFTER_NUMBER = re.compile(rf"(?:\b(?:{_WORDS})|[0-9]){_SEP}$", re.I)
 
 
@@ -148,6 +157,14 @@ class Normal:
         for m in _TOKEN.finditer(text):
             s, e = m.span()
             kind = m.lastgroup
+            if kind == "digits":
+                # letters that stand for digits among digits
+                if s > at:
+                    put(text[at:s], at, s, True)
+                for i, c in enumerate(m[0], s):
+                    put("0" if c in "Oo" else "1" if c in "Il|" else c, i, i + 1, c.isdigit())
+                at = e
+                continue
             if kind == "char":
                 new = plain(m[0])
                 if new == m[0]:
@@ -163,6 +180,8 @@ class Normal:
                 put(text[at:s], at, s, True)
             put(new, s, e, False)
             at = e
+            if kind == "word" and (gap := _GAP.match(text, e)):
+                at = gap.end(1)  # digits spelled one after the other make one number
         if at < len(text):
             put(text[at:], at, len(text), True)
         self.text, self.pieces, self.starts = "".join(out), pieces, [p[0] for p in pieces]
@@ -179,7 +198,7 @@ class Normal:
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and disguised spans together, both by kind as listed and then by start."""
     base = base_spans(text)
-    if not _TRIGGER.search(text):
+    if not may_hide(text):
         return base, base
     form, added = Normal(text), []
     for kind in KINDS:

@@ -62,7 +62,7 @@ def test_disguises(text, kind, piece):
     assert [(k, text[s:e]) for k, s, e in added if k == kind] == ([(kind, piece)] if piece else [])
 
 
-@pytest.mark.parametrize("text", ["Look at this dot and see.", "one two three four five", "He was at home. Dot came at nine.", "Une maison, un deux trois.", "meet at example.com tomorrow", "naïve café à ２ heures", "un un un un un un un un un un"])
+@pytest.mark.parametrize("text", ["Look at this dot and see.", "one two three four five", "He was at home. Dot came at nine.", "Une maison, un deux trois.", "meet at example.com tomorrow", "naïve café à ２ heures", "un un un un un un un un un un", "meet at example.com ２ tomorrow", "O1 l0 and I1l items"])
 def test_clean_texts_stay_clean(text):
     assert P.all_spans(text) == ([], [])
 
