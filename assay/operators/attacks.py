@@ -50,7 +50,7 @@ def lookahead_canary(m: Market, scores: DataFrame, spec: Spec, mask=None, shift_
     s = {r["run_id"]: _num(r["sharpe"]) for r in canary_sharpes(m, scores, spec, mask, shift_days).collect()}
     gain = s["shifted"] - s["honest"]
     return Finding(
-        "Look-ahead canary", bool(math.isfinite(gain) and gain > 0.5), f"future-shifted Sharpe {s['shifted']:.2f} vs honest {s['honest']:.2f}",
+        "Look-ahead canary", bool(math.isfinite(gain) and gain > 0.5), f"Sharpe {s['shifted']:.2f} with scores from the future, {s['honest']:.2f} with honest ones",
         "Scores from the future should do far better than honest ones. If they don't, the honest ones may see it too.", gain,
     )
 
@@ -78,7 +78,7 @@ def permutation_null(m: Market, scores: DataFrame, spec: Spec, mask=None, n: int
     p = _num(r["p"])
     return Finding(
         "Permutation null", bool(math.isfinite(p) and p <= max_p),
-        f"p = {p:.3f} ({n} shuffles, {'zero-cost' if zero_cost else 'with costs'}), real {_num(r['real']):.2f} vs null {_num(r['null_mean']):+.2f} ± {_num(r['null_sd']):.2f}",
+        f"{p:.1%} of {n} shuffles do as well {'before' if zero_cost else 'after'} costs; real Sharpe {_num(r['real']):.2f}, shuffled {_num(r['null_mean']):+.2f} (sd {_num(r['null_sd']):.2f})",
         "Without costs this tests forecasts alone: a slow signal also beats shuffled ones by trading less.", p,
     )
 
@@ -106,11 +106,11 @@ def breadth_curve(prices: DataFrame, signal: Callable, spec: Spec, sizes=SIZES,
     table = breadth_medians(breadth_sharpes(prices, signal, spec, sizes, draws, seed, mask, m)).orderBy("size")
     med = [(r["size"], _num(r["median_sharpe"])) for r in table.collect()]
     if not med:
-        return Finding("Breadth", True, "not enough names to vary")
+        return Finding("Breadth", True, "the panel has fewer names than any size asked for")
     broad = [v for s, v in med if s >= 100 and not math.isnan(v)]
     return Finding(
-        "Breadth", bool(broad and min(broad) > 0), " | ".join(f"{s}n: {v:+.2f}" for s, v in med),
-        "Median Sharpe by number of names. What holds only for few names and not for many is noise.", med[-1][1], table,
+        "Breadth", bool(broad and min(broad) > 0), "median Sharpe " + ", ".join(f"{v:+.2f} of {s} names" for s, v in med),
+        "What holds for a few names and not for many is noise.", med[-1][1], table,
     )
 
 
@@ -156,12 +156,12 @@ def plateau_summary(sharpes: DataFrame) -> DataFrame:
 
 def parameter_plateau(prices: DataFrame, signal: Callable, spec: Spec, grid: dict, mask=None, min_positive: float = 0.80) -> Finding:
     if not grid or not all(grid.values()):
-        return Finding("Parameter plateau", False, "no configurations ran")
+        return Finding("Parameter plateau", False, "the grid has no settings")
     table = grid_sharpes(prices, signal, spec, grid, mask)
     r = plateau_summary(table).first()
     share = _num(r["share_positive"])
     return Finding(
-        "Parameter plateau", share >= min_positive, f"{r['n']} configs, {share:.0%} positive, median {_num(r['median']):.2f}, 5th pct {_num(r['p05']):.2f}",
+        "Parameter plateau", share >= min_positive, f"{share:.0%} of {r['n']} settings above zero; Sharpe {_num(r['median']):.2f} in the middle, {_num(r['p05']):.2f} at the 5th percentile",
         "A result that most settings share is credible; one that few have is fitted.", share, table.drop("run_id"),
     )
 
@@ -183,7 +183,7 @@ def cost_curve(gross_days: DataFrame, spec: Spec, levels=LEVELS, min_breakeven:
     even = gross / turn * 1e4 if math.isfinite(gross) and turn > 0 else math.nan
     shown = f">{max(levels)}" if even > max(levels) else f"{even:.1f}"
     return Finding(
-        "Cost sensitivity", bool(math.isfinite(even) and even >= min_breakeven), f"break-even {shown} bps/side at {turn:.1f}x turnover (gross {gross:+.1%}/yr)",
+        "Cost sensitivity", bool(math.isfinite(even) and even >= min_breakeven), f"{shown} bps a side use up the gross return of {gross:+.1%} a year ({turn:.1f}x turnover)",
         "An edge that is there only without friction is none.", even, table,
     )
 
@@ -197,11 +197,11 @@ def bootstrap_quantiles(days: DataFrame, n: int = 2000, block: int = 21, seed: i
 
 def block_bootstrap(days: DataFrame, n: int = 2000, block: int = 21, seed: int = 0, ann: float = 252) -> Finding:
     if days.where("ret is not null").count() < 4 * block:
-        return Finding("Bootstrap", False, "series too short to resample")
+        return Finding("Bootstrap", False, "too few days for blocks of this length")
     r = bootstrap_quantiles(days, n, block, seed, ann).first()
     lo, mid, hi = (_num(x) for x in r)
     return Finding(
-        "Bootstrap", bool(lo > 0), f"Sharpe 5th/50th/95th = {lo:.2f} / {mid:.2f} / {hi:.2f}",
+        "Bootstrap", bool(lo > 0), f"resampled Sharpes from {lo:.2f} (5th percentile) over {mid:.2f} to {hi:.2f} (95th)",
         "With a 5th percentile below zero the sample cannot rule out that there is no edge.", lo,
     )
 
@@ -211,9 +211,9 @@ def decile_monotonicity(pairs: DataFrame, require: bool = True) -> Finding:
     r = M.monotonicity(means).first()
     rho = _num(r["rho"])
     if r["spread"] is None:
-        return Finding("Decile monotonicity", False, "no periods scored")
+        return Finding("Decile monotonicity", False, "no date has enough scored names")
     return Finding(
-        "Decile monotonicity", bool(not require or rho > 0.6), f"rank corr {rho:+.2f}, top-minus-bottom {r['spread'] * 100:+.2f}%/period",
+        "Decile monotonicity", bool(not require or rho > 0.6), f"deciles and returns correlate by {rho:+.2f}; the top one earns {r['spread']:+.2%} a period over the bottom one",
         "An effect in the tails alone is often a few outliers.", rho, means.orderBy("bucket"),
     )
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from assay.operators.universe import Universe
 
-#: Name of the file that a built-in index universe is read from, in a folder the caller gives.
-INDEX_FILE = "sp500_membership.csv.gz"
-
 
 def read_membership(spark: SparkSession, path: str, name: str = "universe") -> Universe:
     """A universe from a file with the columns date and tickers."""
@@ -21,6 +18,6 @@ def read_membership(spark: SparkSession, path: str, name: str = "universe") -> U
     return Universe(rows, name)
 
 
-def index_universe(spark: SparkSession, folder: str) -> Universe:
-    """The large-cap index's history, read from folder."""
-    return read_membership(spark, f"{folder.rstrip('/')}/{INDEX_FILE}", "S&P 500")
+def sp500(spark: SparkSession, path: str) -> Universe:
+    """The S&P 500's history, from a membership file of the caller's, as none is shipped."""
+    return read_membership(spark, path, "S&P 500")

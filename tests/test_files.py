@@ -14,7 +14,7 @@ from assay.operators.portfolio import Spec
 from assay.operators.universe import Universe
 from assay.prereg import Preregistration, canonical_hash, coerce, diff, parse_yaml
 from assay.report import Finding, Report
-from assay.sources.membership import index_universe, read_membership
+from assay.sources.membership import read_membership, sp500
 from assay.study import Study
 
 
@@ -36,10 +36,10 @@ def test_universe(spark, universe):
 
 
 def test_membership_file(spark, tmp_path):
-    path = tmp_path / "sp500_membership.csv.gz"
+    path = tmp_path / "members.csv.gz"
     with gzip.open(path, "wt") as f:
         f.write('date,tickers\n2020-01-01,"A,B"\n2020-02-01,"B"\n2020-02-01,"B,C"\n')
-    u = index_universe(spark, str(tmp_path))
+    u = sp500(spark, str(path))
     assert {r[0] for r in u.members_on("2020-02-05").collect()} == {"B", "C"}  # the last row of a date holds
     with pytest.raises(FileNotFoundError):
         read_membership(spark, str(tmp_path / "none.csv"))
@@ -77,13 +77,13 @@ def test_report(spark, tmp_path):
     table = spark.range(20).withColumn("v", F.lit(1.23456))
     r = Report("n <b>", "h", "d" * 16, "SEALED", [], {"Sharpe": "1.00"}, [Finding("One", True, "ok", value=1.0, table=table), Finding("Two", False, "bad", "why", math.nan)], ["short sample"])
     text = str(r)
-    assert "PASS  One" in text and "-> why" in text and "WARN  short sample" in text and "KILLED  (1/2" in text
+    assert "PASS  One" in text and "        why" in text and "WARN  short sample" in text and "KILLED: 1 of 2" in text
     page = r.to_html(tmp_path / "r.html")
     assert "n &lt;b&gt;" in page and "6 more rows" in page and "1.235" in page and (tmp_path / "r.html").read_text() == page
     assert [x["value"] for x in r.to_frame(spark).orderBy("attack").collect()] == [1.0, None]
-    assert Report("n", "h", "d", "AMENDED", ["x"], findings=[Finding("a", True)]).verdict.startswith("SURVIVED —")
+    assert Report("n", "h", "d", "AMENDED", ["x"], findings=[Finding("a", True)]).verdict.startswith("SURVIVED,")
     assert not Report("n", "h", "d", "AMENDED", [], findings=[Finding("a", True)]).survived
-    assert Report("n", "h", "d", "AMENDED", ["x"], findings=[Finding("a", False)]).verdict.startswith("KILLED (")
+    assert Report("n", "h", "d", "AMENDED", ["x"], findings=[Finding("a", False)]).verdict.startswith("KILLED,")
 
 
 def test_study_kills_noise_and_spares_drift(spark, tmp_path):
@@ -111,4 +111,4 @@ def test_cli(spark, tmp_path, capsys):
         f"def build():\n    px = R.normal_panel(local_session(), 200, 30, 1)\n    return Study('s', px, lambda p: S.momentum(p, 20, 1), {str(tmp_path / 'criteria.yaml')!r}, walk_forward=None, bootstrap=(20, 21), breadth=((20,), 1))\n"
     )
     assert cli.main(["run", str(tmp_path / "ok.py"), "--permutations", "3", "--quiet", "--out", str(tmp_path / "o.html")]) == 1
-    assert (tmp_path / "o.html").exists() and "VERDICT" in capsys.readouterr().out
+    assert (tmp_path / "o.html").exists() and "KILLED" in capsys.readouterr().out
