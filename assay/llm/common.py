@@ -42,14 +42,32 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch. Texts and signatures are long, and a batch is held in the JVM and in Python at once.
-BATCH_ROWS = "1000"
+#: Rows and bytes of an Arrow batch, at most: texts are long, and a batch is held in the JVM and in Python at once. A longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = "1000", "16m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def portions(texts: list[str | None], rows: int = 256, chars: int = 1_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """Successive stretches of texts with the place of the first: of so many rows and characters at most, or of one longer text."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > lo and (i - lo >= rows or size + n > chars):
+            yield lo, texts[lo:i]
+            lo, size = i, 0
+        size += n
+    if lo < len(texts):
+        yield lo, texts[lo:]
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """df.mapInArrow of a function from a batch to dicts of columns, cast to schema (DDL)."""
     out = _arrow_schema(schema)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:

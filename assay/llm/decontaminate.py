@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shingle_hashes, table, word_hashes
+from .common import arrow_map, portions, shingle_hashes, table, word_hashes
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -123,9 +123,7 @@ def _in_block(docs: DataFrame, items: list, coverage: float) -> DataFrame:
 
     def run(batch):
         index = shared.value
-        texts = batch.column("text")
-        for lo in range(0, batch.num_rows, 256):
-            part = texts.slice(lo, 256).to_pylist()
+        for lo, part in portions(batch.column("text").to_pylist()):
             words, edge = word_hashes(part)
             most, names = [], []
             for i in range(len(part)):
@@ -133,7 +131,7 @@ def _in_block(docs: DataFrame, items: list, coverage: float) -> DataFrame:
                 got = coverages(shingle_hashes(w, MIN_MATCH), index) if len(w) >= MIN_MATCH else {}
                 most.append(max(got.values(), default=0.0))
                 names.append(sorted({str(index.ids[k]) for k, c in got.items() if c >= coverage}))
-            kept = {c: batch.column(c).slice(lo, 256) for c in ("doc_id", "row_key")}
+            kept = {c: batch.column(c).slice(lo, len(part)) for c in ("doc_id", "row_key")}
             yield kept | {"coverage": most, "items": names}
 
     return arrow_map(docs, run, "doc_id long, row_key long, coverage double, items array<string>")
@@ -177,8 +175,8 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float =
             import pyarrow as pa
 
             clean = []
-            for lo in range(0, batch.num_rows, 256):
-                words, edge = word_hashes(batch.column("text").slice(lo, 256).to_pylist())
+            for _, part in portions(batch.column("text").to_pylist()):
+                words, edge = word_hashes(part)
                 for i in range(len(edge) - 1):
                     w = words[edge[i] : edge[i + 1]]
                     got = coverages(shingle_hashes(w, MIN_MATCH), shared.value) if len(w) >= MIN_MATCH else {}

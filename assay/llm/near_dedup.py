@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, hinted, mix, powers, scratch_dir, shingle_hashes, table, word_hashes, written
+from .common import arrow_map, hinted, mix, portions, powers, scratch_dir, shingle_hashes, table, word_hashes, written
 from .graph import components
 
 WORDS = 5
@@ -108,9 +108,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Per row: doc_id, a 128-bit fingerprint of the words (null for null and empty texts), and the signature (null without words)."""
 
     def run(batch):
-        texts = batch.column("text")
-        for lo in range(0, batch.num_rows, 256):
-            part = texts.slice(lo, 256).to_pylist()
+        for lo, part in portions(batch.column("text").to_pylist()):
             words, at = word_hashes(part)
             one, two, sets, has = [], [], [], []
             for i, t in enumerate(part):
@@ -126,7 +124,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 has.append(len(w) > 0)
                 sets.append(shingle_set(w) if len(w) else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
             sig = dart_signatures(sets)
-            yield {"doc_id": batch.column("doc_id").slice(lo, 256), "f1": one, "f2": two, "sig": [s.tobytes() if h else None for s, h in zip(sig, has)]}
+            yield {"doc_id": batch.column("doc_id").slice(lo, len(part)), "f1": one, "f2": two, "sig": [s.tobytes() if h else None for s, h in zip(sig, has)]}
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, f1 long, f2 long, sig binary")
 

@@ -19,7 +19,7 @@ from hashlib import sha256
 
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -250,6 +250,8 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced in text, and n_chars counted anew where it was. Null texts stay null."""
     from pyspark.sql import functions as F
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def redacted(texts):
         def one(t):

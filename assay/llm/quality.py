@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_mod, table, word_hashes
+from .common import arrow_map, id_mod, portions, table, word_hashes
 
 SAMPLE_ROWS = 4000
 DIMENSIONS = 64
@@ -139,10 +139,9 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and the number of terms
 
     def run(batch):
-        texts = batch.column("text")
-        for lo in range(0, batch.num_rows, 256):
-            s = shared.value.scores(texts.slice(lo, 256).to_pylist())
-            yield {"doc_id": batch.column("doc_id").slice(lo, 256), "held_out": batch.column("held_out").slice(lo, 256), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
+        for lo, part in portions(batch.column("text").to_pylist()):
+            s = shared.value.scores(part)
+            yield {"doc_id": batch.column("doc_id").slice(lo, len(part)), "held_out": batch.column("held_out").slice(lo, len(part)), "score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
     return arrow_map(docs, run, "doc_id long, held_out boolean, score double, predicted int")
 

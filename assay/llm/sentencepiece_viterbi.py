@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, prefix_hashes, span_hash, table
+from .common import arrow_map, portions, prefix_hashes, span_hash, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -376,9 +376,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
 
     def run(batch):
         v = vocabulary(shared.value)
-        texts = batch.column("text")
-        for lo in range(0, batch.num_rows, 128):
-            part = texts.slice(lo, 128).to_pylist()
+        for lo, part in portions(batch.column("text").to_pylist(), 128):
             ids = encode_batch(v, part)
             ends = np.cumsum([0, *map(len, ids)])
             digests, exact = [], []
@@ -387,7 +385,7 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
                 digests.append(sha256(back.encode("utf-8", "replace")).hexdigest())
                 exact.append(back == (t or ""))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-            yield {"doc_id": batch.column("doc_id").slice(lo, 128), "n_ids": np.diff(ends), "ids": lists, "decoded_sha256": digests, "exact": exact}
+            yield {"doc_id": batch.column("doc_id").slice(lo, len(part)), "n_ids": np.diff(ends), "ids": lists, "decoded_sha256": digests, "exact": exact}
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, ENCODED)
 
