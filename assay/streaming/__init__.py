@@ -1,0 +1 @@
+"""Nothing to stream: every operator of the engine reads whole panels."""
