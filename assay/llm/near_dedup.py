@@ -163,6 +163,7 @@ def verified(scored: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     need = unsure.select(F.col("a").alias("doc_id")).union(unsure.select("b")).distinct()
     # rows of equal id share a class: any one text of theirs stands for the id
     texts = docs.select("doc_id", "text").join(hinted(written(need, f"{path}/need")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    texts = written(texts, f"{path}/texts")
 
     def run(batch):
         a, b = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
@@ -261,7 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folded = written(folded.select("f1", "f2", F.col("m.doc_id").alias("node"), F.col("m.sig").alias("sig")), f"{path}/folded")
     nodes = folded.where("node is not null and sig is not null").select("node", "sig")
     rows = band_rows(nodes)
-    buckets = rows.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    # written before it is joined: Spark splits a large key only where both sides come from a shuffle of their own
+    buckets = written(rows.groupBy("band", "key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), f"{path}/buckets")
     members = written(rows.join(buckets, ["band", "key"]), f"{path}/members")
     # signatures are needed once per id: an id with several texts is one node, whichever text stands for it
     nodes = nodes.join(hinted(written(members.select("node").distinct(), f"{path}/near")), "node", "left_semi").groupBy("node").agg(F.min("sig").alias("sig"))
