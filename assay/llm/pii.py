@@ -98,18 +98,6 @@ DIGIT_WORDS = {
 }
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SEP = r"[ \t,.\-]{1,3}"
-# What a disguise needs. Patterns that begin with a set of characters scan fast, so there are four of them, three on lower case.
-_ODD = re.compile(r"[^\x00-\xff]|[\xad\xa0\xb2\xb3\xb7\xb9]|[0-9][OoIl|]|[OIl|][0-9]")
-_MARKS = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|punkt|point|punto|\.)\s{0,3}[\])}>]|_(?:at|dot)_| (?:dot|@) ")
-_SPELLED = re.compile(rf"\W(?:{_WORDS}){_SEP}(?:{_WORDS}|[0-9])|[0-9]{_SEP}(?:{_WORDS})\b")
-
-
-def may_hide(text: str) -> bool:
-    """False only if no transducer would change the text."""
-    low = text.lower()
-    return bool(_ODD.search(text) or _MARKS.search(low) or _SPELLED.search(f" {low}"))
-
-
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|\ dot\ |_dot_)"
 # Endings that a bare "name at host dot end" must have, as prose has these words too.
@@ -141,6 +129,20 @@ def plain(c: str) -> str:
     return n if len(n) == 1 and n < "\x80" else c
 
 
+# What a disguise needs: each pattern is wider than the tokens it stands for. The last three read lower case.
+_LATIN = "".join(c for c in map(chr, range(0x80, 0x100)) if plain(c) != c)
+_ODD = re.compile(rf"[^\x00-\xff]|[{_LATIN}]|[0-9][OoIiLl|]|[OoIiLl|][0-9]")
+_MARKS = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|punkt|point|punto|\.)\s{0,3}[\])}>]|_(?:at|dot)_| (?:dot|@) ")
+_SPELLED = re.compile(rf"[\W0-9](?:{_WORDS}){_SEP}(?:{_WORDS}|[0-9])|[0-9]{_SEP}(?:{_WORDS})\b")
+_PLUS = re.compile(rf"plus (?:{_WORDS}|[0-9])")
+
+
+def may_hide(text: str) -> bool:
+    """False only if no transducer would change the text."""
+    low = text.lower()
+    return bool(_ODD.search(text) or _MARKS.search(low) or _SPELLED.search(f" {low}") or _PLUS.search(low))
+
+
 class Normal:
     """A normal form with its way back: pieces are (start in the form, start in the source, source length, copied?)."""
 

@@ -87,3 +87,23 @@ def test_redaction_and_odd_rows(spark, odd_docs, no_docs):
     kept = P.redact_documents(odd_docs)
     assert kept.columns == odd_docs.columns and kept.where("text is null").count() == 2
     assert P.find_pii(no_docs).count() == 0 and P.redact_documents(no_docs).count() == 0
+
+
+PARTS = ["o", "O", "0", "1", "l", "i", "L", "|", "a", "5", ".", " ", "-", "_", "+", "x", "one", "Two", "fünf", "un", "plus ", " plus", "at", " at ", "dot", " dot ", "_at_", "_dot_", "[", "]", "@", " @ ", "\n", "com", "é", "É", "ª", "º", "²", "\xa0", "\xad", "·", "’"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=9).map("".join))
+@settings(max_examples=4000, deadline=None)
+def test_quick_filter_passes_only_what_stays(text):
+    assert P.may_hide(text) or P.Normal(text).text == text
+
+
+@given(st.text(alphabet=st.characters(max_codepoint=0x250), max_size=12))
+@settings(max_examples=1000, deadline=None)
+def test_quick_filter_on_any_characters(text):
+    assert P.may_hide(text) or P.Normal(text).text == text
+
+
+@pytest.mark.parametrize("text,kind,piece", [("call +1 212 555 o199 x", "phone", "+1 212 555 o199"), ("host 192.168.o5.17 x", "ip", "192.168.o5.17"), ("call plus 1 212 555 0199 x", "phone", "plus 1 212 555 0199"), ("call +1 212 5one 2 199 x", "phone", "+1 212 5one 2 199")])
+def test_disguises_in_latin_texts(text, kind, piece):
+    assert [(k, text[s:e]) for k, s, e in P.all_spans(text)[1] if (k, s, e) not in P.base_spans(text)] == [(kind, piece)]
