@@ -22,8 +22,9 @@ from assay.sources.panels import brand_months, monthly_leaders, supplier_weeks
 from . import sql as Q
 
 WEEKLY = P.Spec(ann=Q.ANN, vol_window=Q.VOL)
-TRIALS, SIZES, DRAWS, SEED = 5, (20, 40), 3, 0
-PATHS, BLOCK = 200, 4
+# The operators' own defaults, so that a query is the whole attack; a block is four weeks, as the operator's is 21 days.
+TRIALS, SIZES, DRAWS, SEED = 200, A.SIZES, 8, 0
+PATHS, BLOCK = 2000, 4
 GRID = {"lookback": [26, 52], "skip": [0, 4], "quantile": [0.1, 0.2]}
 WF_ARGS = {"train_years": 2.0, "test_years": 1.0, "step_years": 1.0}
 WF_DAYS = 40
@@ -150,7 +151,9 @@ def perm_pvalue(spark, d):
 
 
 def subuniverse_draws(spark, d):
-    return R.subuniverses(supplier_weeks(spark, d).select("asset").distinct(), SIZES, DRAWS, SEED)
+    assets = supplier_weeks(spark, d).select("asset").distinct()
+    total = assets.count()
+    return R.subuniverses(assets, [s for s in SIZES if s <= total], DRAWS, SEED)
 
 
 def breadth_sharpes(spark, d):
@@ -284,7 +287,7 @@ def study_findings(spark, d):
     with tempfile.TemporaryDirectory() as folder:
         path = Path(folder) / "criteria.json"
         path.write_text(json.dumps({"hypothesis": "prices go on as they went", "kill_criteria": {"min_sharpe": 0.5, "min_ic_tstat": 2.0, "max_turnover": 30, "min_years": 5}}))
-        s = Study("weekly momentum", supplier_weeks(spark, d), signal, path, WEEKLY, horizon=Q.HORIZON, canary_shift=8, bootstrap=(PATHS, BLOCK), breadth=((20, 40), 2),
+        s = Study("weekly momentum", supplier_weeks(spark, d), signal, path, WEEKLY, horizon=Q.HORIZON, canary_shift=8, bootstrap=(PATHS, BLOCK), breadth=(SIZES, DRAWS),
                   walk_forward={"mode": "single", "train_years": 3.0, "min_days": WF_DAYS}, param_grid={"lookback": [26, 52], "quantile": [0.1, 0.2]})
         return s.run(permutations=TRIALS, verbose=False).to_frame(spark)
 
