@@ -100,17 +100,37 @@ _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SEP = r"[ \t,.\-]{1,3}"
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
 _DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|\ dot\ |_dot_)"
-# Endings that a bare "name at host dot end" must have, as prose has these words too.
+# Endings for which "name at host dot end" is an address whatever stands around them.
 _ENDS = "com|org|net|edu|gov|info|biz|io|eu|de|fr|es|uk|it|ch|at|us|co|me|test|example|invalid"
+# Any other ending of letters will do, unless the words around a bare "dot" make it a noun: a determiner before it, or a
+# word behind it that joins clauses or phrases (none of three letters or more is a top-level domain).
+_NOUN = r"(?:the|an?|this|that|these|those|each|every|any|some|no|another|which|what|my|your|his|her|its|our|their)\ dot\b"
+_JOINS = r"(?:and|the|for|was|were|are|but|nor|that|this|with|from|which|when|where|while|because|had|has|have|than|then|who|into|onto|over|under|after|before|until|about|between|near|not|you|they|she)\b"
+_HOST = r"[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,3}"
+_MORE = rf"(?:[a-z0-9-]{{1,63}}(?:{_DOT}|\.)){{0,3}}"
+_BARE = rf"(?:{_HOST}{_DOT}{_MORE}(?:{_ENDS})\b|(?!{_NOUN}){_HOST}{_DOT}(?!{_JOINS}){_MORE}[a-z]{{2,63}}\b)"
 _TOKEN = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\ at\ (?=[a-z0-9-]{{1,63}}(?:\.[a-z0-9-]{{1,63}}){{0,3}}{_DOT}(?:[a-z0-9-]{{1,63}}(?:{_DOT}|\.)){{0,3}}(?:{_ENDS})\b)|(?<=[a-z0-9])\ @\ (?=[a-z0-9]))"
+    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\ at\ (?={_BARE})|(?<=[a-z0-9])\ @\ (?=[a-z0-9]))"
     rf"|(?P<dot>(?<=[a-z0-9]){_DOT}(?=[a-z0-9]))"
     r"|(?P<digits>(?<![^\W_])(?=[OoIl|]{0,18}[0-9])(?=[0-9]{0,18}[OoIl|])[0-9OoIl|]{2,19}(?![^\W_]))"
+    r"|(?P<lone>(?<![^\W_])(?-i:[OoIl|])(?![^\W_]))"
     rf"|(?P<plus>\bplus\ (?=(?:{_WORDS}|[0-9])\b))"
     rf"|(?P<word>(?:(?<=[0-9])|\b)(?:{_WORDS})\b(?:(?={_SEP}(?:(?:{_WORDS})\b|[0-9]))|(?<=[^\W_])))"
     r"|(?P<char>[^\x00-\x7f])",
     re.I,
 )
+# A letter that is a digit group of its own has digit groups or such letters on both sides, or, among dots, on one.
+_BEFORE = re.compile(r"[0-9](?:[.\- ][OoIl|]){0,18}[.\- ]$")
+_BEHIND = re.compile(r"(?:[.\- ][OoIl|]){0,18}[.\- ][0-9]")
+_DOTS_BEFORE = re.compile(r"[0-9](?:\.[OoIl|]){0,18}\.$")
+_DOTS_BEHIND = re.compile(r"(?:\.[OoIl|]){0,18}\.[0-9]")
+
+
+def stands_alone(text: str, s: int, e: int) -> bool:
+    before, behind = text[max(0, s - 38) : s], text[e : e + 38]
+    return bool((_BEFORE.search(before) and _BEHIND.match(behind)) or _DOTS_BEFORE.search(before) or _DOTS_BEHIND.match(behind))
+
+
 _GAP = re.compile(rf"({_SEP})(?:{_WORDS})\b", re.I)
 _AFTER_NUMBER = re.compile(rf"(?:\b(?:{_WORDS})|[0-9]){_SEP}$", re.I)
 
@@ -131,7 +151,7 @@ def plain(c: str) -> str:
 
 # What a disguise needs: each pattern is wider than the tokens it stands for. The last three read lower case.
 _LATIN = "".join(c for c in map(chr, range(0x80, 0x100)) if plain(c) != c)
-_ODD = re.compile(rf"[^\x00-\xff]|[{_LATIN}]|[0-9][OoIiLl|]|[OoIiLl|][0-9]")
+_ODD = re.compile(rf"[^\x00-\xff]|[{_LATIN}]|[0-9][OoIiLl|]|[OoIiLl|][0-9]|[0-9][.\- ][OoIl|](?![^\W_])|(?<![^\W_])[OoIl|][.\- ][0-9]")
 _MARKS = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|punkt|point|punto|\.)\s{0,3}[\])}>]|_(?:at|dot)_| (?:dot|@) ")
 _SPELLED = re.compile(rf"[\W0-9](?:{_WORDS}){_SEP}(?:{_WORDS}|[0-9])|[0-9]{_SEP}(?:{_WORDS})\b")
 _PLUS = re.compile(rf"plus (?:{_WORDS}|[0-9])")
@@ -159,7 +179,9 @@ class Normal:
         for m in _TOKEN.finditer(text):
             s, e = m.span()
             kind = m.lastgroup
-            if kind == "digits":
+            if kind == "lone" and not stands_alone(text, s, e):
+                continue
+            if kind in ("digits", "lone"):
                 # letters that stand for digits among digits
                 if s > at:
                     put(text[at:s], at, s, True)

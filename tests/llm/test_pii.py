@@ -107,3 +107,19 @@ def test_quick_filter_on_any_characters(text):
 @pytest.mark.parametrize("text,kind,piece", [("call +1 212 555 o199 x", "phone", "+1 212 555 o199"), ("host 192.168.o5.17 x", "ip", "192.168.o5.17"), ("call plus 1 212 555 0199 x", "phone", "plus 1 212 555 0199"), ("call +1 212 5one 2 199 x", "phone", "+1 212 5one 2 199")])
 def test_disguises_in_latin_texts(text, kind, piece):
     assert [(k, text[s:e]) for k, s, e in P.all_spans(text)[1] if (k, s, e) not in P.base_spans(text)] == [(kind, piece)]
+
+
+@pytest.mark.parametrize(
+    "text,kind,piece",
+    [(f"mail jane at firma dot {end} today", "email", f"jane at firma dot {end}") for end in ("nl", "ca", "ru", "dev", "com", "cloud")]
+    + [("mail jane at mail (dot) ru now", "email", "jane at mail (dot) ru"), ("mail jane at mail dot firma dot nl", "email", "jane at mail dot firma dot nl"), ("ask jane at mail.firma dot nl", "email", "jane at mail.firma dot nl")]
+    + [(f"host {x} is down", "ip", x) for x in ("10.O.O.1", "10.0.l.1", "10.0.0.l", "l.2.O.4")]
+    + [("call +1 2 1 2 O 5 5 l 9 9 now", "phone", "+1 2 1 2 O 5 5 l 9 9")],
+)
+def test_any_ending_and_lone_letters(text, kind, piece):
+    assert [(k, text[s:e]) for k, s, e in P.all_spans(text)[1] if (k, s, e) not in P.base_spans(text)] == [(kind, piece)]
+
+
+@pytest.mark.parametrize("text", ["Look at this dot and see.", "He aimed at every dot he saw.", "They stared at blue dot after blue dot.", "We met at one dot and left.", "In 2019 I had 3 l of milk.", "The I.O.I. and O.O.O.O agree", "Take 5 o clock | 6 I say 7"])
+def test_prose_with_dots_and_letters_stays_clean(text):
+    assert P.all_spans(text) == ([], [])
