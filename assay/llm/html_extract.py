@@ -26,7 +26,9 @@ from .html_pages import LABELLED
 
 # Kinds of elements in the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg textarea title select".split())
+RAW = set("script style textarea title".split())
+# elements whose content is dropped once their own end is met; one that something else ends keeps it
+HIDDEN = set("noscript template iframe svg select".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -37,10 +39,11 @@ ENDED_BY = {
     "li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr tbody tfoot thead", {"table"}), "td": ("td th tr tbody tfoot", {"table"}),
     "th": ("td th tr tbody tfoot", {"table"}), "thead": ("tbody tfoot", {"table"}), "tbody": ("tbody tfoot", {"table"}), "option": ("option optgroup", {"select"}), "head": ("body", {"html"}),
 }
+BOUNDS_P = {"td", "th", "table", "button"} | HIDDEN
 STARTS: dict[str, list[tuple[str, set]]] = {}
 for _k, (_by, _in) in ENDED_BY.items():
     for _t in _by.split():
-        STARTS.setdefault(_t, []).append((_k, _in))
+        STARTS.setdefault(_t, []).append((_k, _in | HIDDEN))
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|[^<]+|<", re.S)
 # a start or end whose quotes don't match
@@ -77,10 +80,13 @@ def parse(source: str) -> tuple[list[str], list[int], list[str]]:
             if open_[name]:
                 while tag[stack[-1]] != name:
                     pop()
+                own = stack[-1]
                 pop()
+                if name in HIDDEN:
+                    del tag[own + 1 :], parent[own + 1 :], data[own + 1 :]
             continue
         if name in CLOSES_P and open_["p"]:
-            _end(tag, stack, open_, "p", {"td", "th", "table", "button"})
+            _end(tag, stack, open_, "p", BOUNDS_P)
         for ended, within in STARTS.get(name, ()):
             if open_[ended]:
                 _end(tag, stack, open_, ended, within)
@@ -109,7 +115,7 @@ def _end(tag, stack, open_, name, within) -> None:
 
 @lru_cache(maxsize=64)
 def _closing(name: str):
-    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
+    return re.compile(rf"</{re.escape(name)}(?:[\s/][^<>]*)?>", re.I)
 
 
 def _raw_end(source: str, name: str, at: int) -> int:

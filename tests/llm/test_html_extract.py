@@ -71,3 +71,20 @@ def test_odd_rows(spark):
     got = H.extract(df).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, 9, 50_000 * 6 - 2]
     assert H.extract(df.where("false")).count() == 0
+
+
+ARTICLE = "<article><p>" + "The story goes on with many words about the matter at hand. " * 4 + "</p></article>"
+
+
+@pytest.mark.parametrize("broken", ["<select><option>one", "<svg><path d='m'>", "<template>", "<noscript>", "<iframe src='x'>", "<script>var a = 1;</script x>", "<style>p {}</style >", "<svg><path></svg x>"])
+def test_article_behind_a_broken_element_is_kept(broken):
+    assert "The story goes on" in H.main_text(f"<html><body><div>{broken}{ARTICLE}</div></body></html>")
+    assert "The story goes on" in H.main_text(f"<html><body><div>{broken}</div>{ARTICLE}<svg><path></svg></body></html>")
+
+
+@pytest.mark.parametrize("name", ["select", "svg", "template", "noscript", "iframe"])
+def test_content_of_closed_elements_is_dropped(name):
+    inner = "Secret words of some length that no reader of the page will see."
+    for inside in (inner, f"<div>{inner}</div>", f"<p>{inner}<p>{inner}", f"<ul><li>{inner}<li>{inner}</ul>"):
+        got = H.main_text(f"<article><p>{'Words that are read by all. ' * 5}<{name}>{inside}</{name}>and more after it.</p></article>")
+        assert "Secret" not in got and "Words that are read" in got and "and more after it" in got
