@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 from hashlib import sha256
 
@@ -31,14 +32,40 @@ def texts(seed, alphabet):
     return out + [base, base, "ab" * 90, "a" * 100, None, "", "é" * 70]
 
 
-@pytest.mark.parametrize("seed,alphabet,hot", [(0, "abcdefgh ", 20_000), (1, "ab", 20_000), (2, "abcdé", 1)])
-def test_equals_brute_force(spark, seed, alphabet, hot):
+@pytest.mark.parametrize("seed,alphabet,hot,hot_key", [(0, "abcdefgh ", 20_000, 5_000), (1, "ab", 20_000, 2), (2, "abcdé", 1, 5_000), (3, "abcd", 1, 1)])
+def test_equals_brute_force(spark, monkeypatch, seed, alphabet, hot, hot_key):
+    monkeypatch.setattr(S, "HOT_KEY", hot_key)
     t = texts(seed, alphabet)
     df = spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string")
     got = {r[0]: tuple(r)[1:] for r in S.suffix_dedup(df, length=30, context=8, hot_group=hot).collect()}
     assert [got[i] for i in range(len(t))] == brute(t, 30)
 
 
+def test_radix_passes_order_to_the_last_digit():
+    """Against counting windows; the last digit is shorter than the others."""
+    rng = np.random.default_rng(3)
+    b = rng.integers(97, 99, 4000).astype(np.uint8)
+    at = np.arange(len(b) - 17 + 1)
+    group = (at % 2).astype(np.uint64)
+    kept = S.radix_passes(group, at, S.prefix_hashes(b), 17, 5)
+    count = Counter((int(g), b[p : p + 17].tobytes()) for g, p in zip(group, at))
+    assert kept.tolist() == [p for g, p in zip(group, at) if count[int(g), b[p : p + 17].tobytes()] > 1]
+
+
+def test_equal_rows_cost_what_rows_with_own_ids_cost(spark):
+    """Rows equal in id and text, against the same texts under ids of their own."""
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("abcdefgh "), 20_000))
+    took = []
+    for ids in ([7] * 400, list(range(400))):
+        df = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+        start = time.perf_counter()
+        got = S.suffix_dedup(df).collect()
+        took.append(time.perf_counter() - start)
+        assert len(got) == 400 and {tuple(r)[1:] for r in got} == {(20_000, 20_000, 1, sha256(b"").hexdigest())}
+    assert took[0] < 2 * took[1] + 5
+
+
 def test_slices_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(7)
     part = bytes(rng.integers(97, 101, 3000).astype(np.uint8))
