@@ -1,4 +1,4 @@
-"""The attacks: each asks how a result would look if it were false, and returns a Finding.
+"""The attacks: each measures what would differ if a result were false, and returns a Finding. A docstring's first line says what is measured.
 
 Trials of an attack (shuffles, sub-universes, parameter settings, cost levels) are runs of one plan, told apart by run_id. Nothing loops over
 trials but the evaluation of a signal for each distinct setting of its own arguments.
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.columns import finite
-from assay.report import Finding
+from assay.report import Demand, Finding
 
 from . import metrics as M
 from .panel import by_asset, densify
@@ -47,12 +47,9 @@ def canary_sharpes(m: Market, scores: DataFrame, spec: Spec, mask: DataFrame | N
 
 
 def lookahead_canary(m: Market, scores: DataFrame, spec: Spec, mask=None, shift_days: int = 42) -> Finding:
+    """Sharpe gained by scores moved back in time; one that sees the future already gains little."""
     s = {r["run_id"]: _num(r["sharpe"]) for r in canary_sharpes(m, scores, spec, mask, shift_days).collect()}
-    gain = s["shifted"] - s["honest"]
-    return Finding(
-        "Look-ahead canary", bool(math.isfinite(gain) and gain > 0.5), f"Sharpe {s['shifted']:.2f} with scores from the future, {s['honest']:.2f} with honest ones",
-        "Scores from the future should do far better than honest ones. If they don't, the honest ones may see it too.", gain,
-    )
+    return Finding("Look-ahead canary", {"gain": s["shifted"] - s["honest"], **s}, Demand("gain", "above", 0.5))
 
 
 def permutation_sharpes(m: Market, scores: DataFrame, spec: Spec, mask=None, n: int = 200, seed: int = 0, zero_cost: bool = True) -> DataFrame:
@@ -73,14 +70,9 @@ def permutation_summary(sharpes: DataFrame) -> DataFrame:
 
 
 def permutation_null(m: Market, scores: DataFrame, spec: Spec, mask=None, n: int = 200, seed: int = 0, max_p: float = 0.05, zero_cost: bool = True) -> Finding:
-    """A real Sharpe that is undefined fails."""
+    """Share of shuffles of each date's scores whose Sharpe is no less; costless, as shuffled books trade more."""
     r = permutation_summary(permutation_sharpes(m, scores, spec, mask, n, seed, zero_cost)).first()
-    p = _num(r["p"])
-    return Finding(
-        "Permutation null", bool(math.isfinite(p) and p <= max_p),
-        f"{p:.1%} of {n} shuffles do as well {'before' if zero_cost else 'after'} costs; real Sharpe {_num(r['real']):.2f}, shuffled {_num(r['null_mean']):+.2f} (sd {_num(r['null_sd']):.2f})",
-        "Without costs this tests forecasts alone: a slow signal also beats shuffled ones by trading less.", p,
-    )
+    return Finding("Permutation null", {c: _num(r[c]) for c in ("p", "real", "null_mean", "null_sd")} | {"shuffles": n}, Demand("p", "at most", max_p))
 
 
 def breadth_sharpes(prices: DataFrame, signal: Callable, spec: Spec, sizes=SIZES, draws: int = 8, seed: int = 0, mask=None, m: Market | None = None) -> DataFrame:
@@ -103,15 +95,14 @@ def breadth_medians(sharpes: DataFrame) -> DataFrame:
 
 
 def breadth_curve(prices: DataFrame, signal: Callable, spec: Spec, sizes=SIZES, draws: int = 8, seed: int = 0, mask=None, m: Market | None = None) -> Finding:
+    """Median Sharpe on random parts of the universe: above zero for all sizes of 100 names or more."""
     table = breadth_medians(breadth_sharpes(prices, signal, spec, sizes, draws, seed, mask, m)).orderBy("size")
     med = [(r["size"], _num(r["median_sharpe"])) for r in table.collect()]
     if not med:
-        return Finding("Breadth", True, "the panel has fewer names than any size asked for")
+        return Finding("Breadth", remark="fewer names than any of the sizes", otherwise=True)
     broad = [v for s, v in med if s >= 100 and not math.isnan(v)]
-    return Finding(
-        "Breadth", bool(broad and min(broad) > 0), "median Sharpe " + ", ".join(f"{v:+.2f} of {s} names" for s, v in med),
-        "What holds for a few names and not for many is noise.", med[-1][1], table,
-    )
+    measures = {"least_of_broad": min(broad, default=math.nan)} | {f"of_{s}": v for s, v in med}
+    return Finding("Breadth", measures, Demand("least_of_broad", "above", 0), f"of_{med[-1][0]}", table)
 
 
 def grid_configs(grid: dict) -> list[dict]:
@@ -142,9 +133,9 @@ def grid_sharpes(prices: DataFrame, signal: Callable, spec: Spec, grid: dict, ma
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    import pandas as pd
+    import pyarrow as pa
 
-    table = spark.createDataFrame(pd.DataFrame([{"run_id": f"c{n}", **c} for n, c in enumerate(configs)]))
+    table = spark.createDataFrame(pa.Table.from_pylist([{"run_id": f"c{n}", **c} for n, c in enumerate(configs)]))
     return F.broadcast(table).join(out, "run_id")
 
 
@@ -155,15 +146,13 @@ def plateau_summary(sharpes: DataFrame) -> DataFrame:
 
 
 def parameter_plateau(prices: DataFrame, signal: Callable, spec: Spec, grid: dict, mask=None, min_positive: float = 0.80) -> Finding:
+    """Share of settings of the knobs whose Sharpe is above zero."""
     if not grid or not all(grid.values()):
-        return Finding("Parameter plateau", False, "the grid has no settings")
+        return Finding("Parameter plateau", {"settings": 0})
     table = grid_sharpes(prices, signal, spec, grid, mask)
     r = plateau_summary(table).first()
-    share = _num(r["share_positive"])
-    return Finding(
-        "Parameter plateau", share >= min_positive, f"{share:.0%} of {r['n']} settings above zero; Sharpe {_num(r['median']):.2f} in the middle, {_num(r['p05']):.2f} at the 5th percentile",
-        "A result that most settings share is credible; one that few have is fitted.", share, table.drop("run_id"),
-    )
+    measures = {"share_positive": _num(r["share_positive"]), "settings": r["n"], "median": _num(r["median"]), "p05": _num(r["p05"])}
+    return Finding("Parameter plateau", measures, Demand("share_positive", "at least", min_positive), table=table.drop("run_id"))
 
 
 def cost_levels(gross_days: DataFrame, levels=LEVELS, ann: float = 252) -> DataFrame:
@@ -176,16 +165,13 @@ def cost_levels(gross_days: DataFrame, levels=LEVELS, ann: float = 252) -> DataF
 
 
 def cost_curve(gross_days: DataFrame, spec: Spec, levels=LEVELS, min_breakeven: float = 20.0) -> Finding:
+    """The cost a side, in basis points, that turnover times it would make equal to the gross growth of a year."""
     table = cost_levels(gross_days, levels, spec.ann).orderBy("bps")
     gross = _num(table.first()["cagr"])
     r = gross_days.agg(F.sum("turnover").alias("x"), F.count(F.lit(1)).alias("n")).first()
     turn = _num(r["x"]) / (r["n"] / spec.ann) if r["n"] else math.nan
     even = gross / turn * 1e4 if math.isfinite(gross) and turn > 0 else math.nan
-    shown = f">{max(levels)}" if even > max(levels) else f"{even:.1f}"
-    return Finding(
-        "Cost sensitivity", bool(math.isfinite(even) and even >= min_breakeven), f"{shown} bps a side use up the gross return of {gross:+.1%} a year ({turn:.1f}x turnover)",
-        "An edge that is there only without friction is none.", even, table,
-    )
+    return Finding("Cost sensitivity", {"breakeven_bps": even, "gross_cagr": gross, "annual_turnover": turn}, Demand("breakeven_bps", "at least", min_breakeven), table=table)
 
 
 def bootstrap_quantiles(days: DataFrame, n: int = 2000, block: int = 21, seed: int = 0, ann: float = 252) -> DataFrame:
@@ -196,26 +182,27 @@ def bootstrap_quantiles(days: DataFrame, n: int = 2000, block: int = 21, seed: i
 
 
 def block_bootstrap(days: DataFrame, n: int = 2000, block: int = 21, seed: int = 0, ann: float = 252) -> Finding:
-    if days.where("ret is not null").count() < 4 * block:
-        return Finding("Bootstrap", False, "too few days for blocks of this length")
+    """The 5th percentile of the Sharpes of resampled blocks of days."""
+    if (have := days.where("ret is not null").count()) < 4 * block:
+        return Finding("Bootstrap", {"days": have}, remark=f"too short for blocks of {block}")
     r = bootstrap_quantiles(days, n, block, seed, ann).first()
-    lo, mid, hi = (_num(x) for x in r)
-    return Finding(
-        "Bootstrap", bool(lo > 0), f"resampled Sharpes from {lo:.2f} (5th percentile) over {mid:.2f} to {hi:.2f} (95th)",
-        "With a 5th percentile below zero the sample cannot rule out that there is no edge.", lo,
-    )
+    return Finding("Bootstrap", {c: _num(r[c]) for c in ("p05", "p50", "p95")}, Demand("p05", "above", 0))
 
 
 def decile_monotonicity(pairs: DataFrame, require: bool = True) -> Finding:
+    """Rank correlation of a decile's number with the mean return of its names."""
     means = M.bucket_means(M.quantile_returns(pairs, 10))
     r = M.monotonicity(means).first()
-    rho = _num(r["rho"])
     if r["spread"] is None:
-        return Finding("Decile monotonicity", False, "no date has enough scored names")
-    return Finding(
-        "Decile monotonicity", bool(not require or rho > 0.6), f"deciles and returns correlate by {rho:+.2f}; the top one earns {r['spread']:+.2%} a period over the bottom one",
-        "An effect in the tails alone is often a few outliers.", rho, means.orderBy("bucket"),
-    )
+        return Finding("Decile monotonicity", {"dates": 0}, remark="too few scored names on every date")
+    return Finding("Decile monotonicity", {"rho": _num(r["rho"]), "spread": r["spread"]}, Demand("rho", "above", 0.6) if require else None, "rho", means.orderBy("bucket"), otherwise=True)
+
+
+def ic_significance(pairs: DataFrame, least: float) -> Finding:
+    """t of the mean rank correlation of scores with the returns that follow, over all names of all dates."""
+    r = M.ic_tstat(M.rank_ic(pairs)).first()
+    t = _num(r["tstat"])
+    return Finding("Signal IC t-stat", {"t": t if math.isfinite(t) else math.nan, "mean_ic": _num(r["mean_ic"]), "dates": r["n_dates"]}, Demand("t", "in size at least", least))
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("densify",)]

@@ -1,12 +1,15 @@
 """The price panel: long rows (t, asset, price), a calendar of its dates, and the dense grid of both.
 
-Lags go by calendar rows, so everything that looks back or ahead works on the dense grid, where a missing price is null.
+Lags go by calendar rows, so everything that looks back or ahead works on the dense grid, where a missing price is null. The grid is dealt out by asset
+once, and all windows of an asset then run where its rows are. Dates have one row a day at most, so tables of dates come to the driver and go back as
+local tables.
 Extra key columns, such as run_id, may lead; every operator then works within each key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,15 +48,36 @@ def to_wide(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy("t").pivot("asset").agg(F.first(value)).orderBy("t")
 
 
-def calendar(prices: DataFrame) -> DataFrame:
-    """(t, i): distinct dates in order, numbered from 0. A table of dates, so one partition is enough."""
-    return prices.select("t").distinct().select("t", (F.row_number().over(W.orderBy("t")) - 1).alias("i"))
+def local(spark: SparkSession, columns: dict[str, list], **types: pa.DataType) -> DataFrame:
+    """A small table that is part of the plan: no job, no shuffle and no scan to read it."""
+    return spark.createDataFrame(pa.table({k: pa.array(v, types[k]) for k, v in columns.items()}))
 
 
-def densify(prices: DataFrame) -> DataFrame:
-    """(t, asset, price) for every date and asset of the panel."""
-    grid = prices.select("asset").distinct().crossJoin(F.broadcast(prices.select("t").distinct())).select("t", "asset")  # the panel's own shape; dates are few
-    return grid.join(prices, ["t", "asset"], "left")
+def dates_of(prices: DataFrame) -> list:
+    """The panel's dates in order: as many as there are days, whatever the number of rows."""
+    return sorted(r["t"] for r in prices.select("t").distinct().collect() if r["t"] is not None)
+
+
+def calendar(prices: DataFrame, dates: list | None = None) -> DataFrame:
+    """(t, i): distinct dates in order, numbered from 0, as a local table."""
+    dates = dates_of(prices) if dates is None else dates
+    return local(prices.sparkSession, {"t": dates, "i": list(range(len(dates)))}, t=pa.date32(), i=pa.int32())
+
+
+def densify(prices: DataFrame, dates: list | None = None) -> DataFrame:
+    """(t, asset, price) for every date and asset of the panel; of repeated rows of a date and an asset one stays.
+
+    Each row brings the dates from its own up to the asset's next one, and the first row those before it, so one shuffle by asset does it."""
+    dates = dates_of(prices) if dates is None else dates
+    if not dates:
+        return prices.select("t", "asset", "price")
+    cal = F.broadcast(calendar(prices, dates))
+    w = W.partitionBy("asset").orderBy("i")
+    rows = prices.join(cal, "t").select("asset", "i", "price")
+    first, after = F.when(F.lag("i").over(w).isNull(), F.lit(0)).otherwise(F.col("i")), F.lead("i", 1, len(dates)).over(w)
+    rows = rows.select("asset", "i", "price", first.alias("_a"), after.alias("_b")).where("_b > i")
+    rows = rows.select("asset", "price", F.col("i").alias("_i"), F.explode(F.sequence("_a", F.col("_b") - 1)).alias("i"))
+    return rows.join(cal, "i").select("t", "asset", F.when(F.col("i") == F.col("_i"), F.col("price")).alias("price"))
 
 
 def returns(grid: DataFrame, pad_gaps: bool = True) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assay.functions.columns import ratio
 
+from .panel import local
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -47,8 +50,9 @@ RUN_KNOBS = ("quantile", "long_short", "weighting", "max_weight")
 
 
 def run_table(spark, specs: dict[str, Spec]) -> DataFrame:
-    rows = [(k, float(s.quantile), bool(s.long_short), s.weighting, float(s.max_weight)) for k, s in specs.items()]
-    return spark.createDataFrame(rows, "run_id string, quantile double, long_short boolean, weighting string, max_weight double")
+    """(run_id, knobs): a row for each run."""
+    types = {"quantile": pa.float64(), "long_short": pa.bool_(), "weighting": pa.string(), "max_weight": pa.float64()}
+    return local(spark, {"run_id": list(specs)} | {k: [getattr(s, k) for s in specs.values()] for k in RUN_KNOBS}, run_id=pa.string(), **types)
 
 
 def eligible(scores: DataFrame, mask: DataFrame | None, strict: bool = False) -> DataFrame:

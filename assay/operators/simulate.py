@@ -12,15 +12,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assay.functions.columns import ratio
 
-from .panel import calendar, densify, returns, rolling_vol
+from .panel import calendar, dates_of, densify, local, returns, rolling_vol
 from .portfolio import Spec, run_table, targets
-from .schedule import schedule
+from .schedule import schedule, settled
 
 
 @dataclass
@@ -36,24 +37,27 @@ class Market:
     spec: Spec
 
     def persist(self) -> "Market":
-        for df in (self.grid, self.calendar, self.schedule, self.vol, self.growth):
+        for df in (self.grid, self.vol, self.growth):
             df.persist()
         return self
 
     def unpersist(self) -> None:
-        for df in (self.grid, self.calendar, self.schedule, self.vol, self.growth):
+        for df in (self.grid, self.vol, self.growth):
             df.unpersist()
 
 
 def market(prices: DataFrame, spec: Spec) -> Market:
-    grid, cal = densify(prices), calendar(prices)
-    sched = schedule(cal, spec.rebalance, spec.execution_lag)
+    """Grid, volatility and growth come out of one shuffle by asset; calendar and schedule are local tables."""
+    dates = dates_of(prices)
+    grid, cal = densify(prices, dates), calendar(prices, dates)
+    sched, periods = settled(schedule(cal, spec.rebalance, spec.execution_lag))
     rets = returns(grid, spec.pad_gaps)
     vol = rolling_vol(rets, spec.vol_window, ann=spec.ann)
     vol = vol.join(F.broadcast(sched.select(F.col("t_signal").alias("t"))), "t", "left_semi").select("t", "asset", "vol")
     # an execution day ends one period and begins the next: it is a row of both
-    # dates by periods: two tables of dates
-    held = cal.join(F.broadcast(sched), (F.col("i") >= F.col("i_exec")) & (F.col("i_next").isNull() | (F.col("i") <= F.col("i_next")))).select("t", "i", "period", "i_exec")
+    held = [(dates[i], i, r["period"], r["i_exec"]) for r in periods for i in range(r["i_exec"], len(dates) if r["i_next"] is None else r["i_next"] + 1)]
+    held = dict(zip(("t", "i", "period", "i_exec"), zip(*held))) if held else {c: [] for c in ("t", "i", "period", "i_exec")}
+    held = local(prices.sparkSession, held, t=pa.date32(), i=pa.int32(), period=pa.int32(), i_exec=pa.int32())
     moves = rets.select("t", "asset", "ret").join(F.broadcast(held), "t")
     factor = F.when(F.col("i") == F.col("i_exec"), F.lit(1.0)).otherwise(1 + F.coalesce("ret", F.lit(0.0)))
     w = W.partitionBy("period", "asset").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -65,29 +69,33 @@ def daily(m: Market, w: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, t, gross, turnover, n_positions) from each run's first held date on; every date, at 0, for a run that never holds.
 
     w: targets (run_id, period, asset, w0); runs: has every run_id."""
-    ids = runs.select("run_id")
-    ends = m.schedule.select("period", "i_exec", "i_next")
-    held = w.join(m.growth, ["period", "asset"])
-    # one shuffle by (run, period, day) serves the book's value, its drifted weights and its count
+    ends = F.broadcast(m.schedule.select("period", "i_exec", "i_next"))
+    none, zero, no = F.lit(None).cast("double"), F.lit(0.0), F.lit(0).cast("long")
+    # one shuffle by (run, period) serves the books' values, their drifted weights and counts, and the returns from day to day: a
+    # period's book has no more rows than a cross-section has names, times the period's days
+    held = w.join(m.growth.select("period", "asset", "i", "g"), ["period", "asset"]).join(ends, "period").repartition("run_id", "period")
     value = 1 + F.sum(F.col("w0") * (F.col("g") - 1)).over(W.partitionBy("run_id", "period", "i"))
     held = held.withColumn("v", value).withColumn("wt", ratio(F.col("w0") * F.col("g"), F.col("v")))
-    book = held.groupBy("run_id", "period", "i").agg(F.max("v").alias("v"), F.count_if(F.abs("wt") > 1e-9).alias("n"))
+    book = held.groupBy("run_id", "period", "i", "i_next").agg(F.max("v").alias("v"), F.count_if(F.abs("wt") > 1e-9).alias("n"))
     before = F.lag("v").over(W.partitionBy("run_id", "period").orderBy("i"))
-    book = book.withColumn("gross", ratio(F.col("v"), before) - 1).join(F.broadcast(ends), "period")
-    none = F.lit(None).cast("double")
+    book = book.withColumn("gross", ratio(F.col("v"), before) - 1)
     # on an execution day the return is the old book's and the count the new one's
-    days_of = book.select("run_id", "i", "gross", none.alias("turnover"), F.when(F.col("i_next").isNull() | (F.col("i") < F.col("i_next")), F.col("n")).alias("n_positions"))
-    sold = held.join(F.broadcast(ends), "period").where("i = i_next").select("run_id", (F.col("period") + 1).alias("period"), "asset", (-F.col("wt")).alias("x"))
-    traded = w.select("run_id", "period", "asset", F.col("w0").alias("x")).unionByName(sold).groupBy("run_id", "period", "asset").agg(F.sum("x").alias("x"))
-    traded = traded.groupBy("run_id", "period").agg(F.sum(F.abs("x")).alias("turnover"))
-    traded = traded.join(F.broadcast(ends), "period").select("run_id", F.col("i_exec").alias("i"), none.alias("gross"), "turnover", F.lit(None).cast("long").alias("n_positions"))
-    moved = days_of.unionByName(traded).groupBy("run_id", "i").agg(F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover"), F.max("n_positions").alias("n_positions"))
-    live = w.join(F.broadcast(ends), "period").groupBy("run_id").agg(F.min("i_exec").alias("first_live"))
-    days = ids.crossJoin(F.broadcast(m.calendar))  # each run has each date
-    days = days.join(live, "run_id", "left").where("first_live is null or i >= first_live")
-    out = days.join(moved, ["run_id", "i"], "left")
-    zero = F.lit(0.0)
-    return out.select("run_id", "t", F.coalesce("gross", zero).alias("gross"), F.coalesce("turnover", zero).alias("turnover"), F.coalesce("n_positions", F.lit(0).cast("long")).alias("n_positions"))
+    open_ = F.col("i_next").isNull() | (F.col("i") < F.col("i_next"))
+    days_of = book.select("run_id", "i", "gross", none.alias("turnover"), F.when(open_, F.col("n")).alias("n_positions"), F.lit(False).alias("bought"))
+    # growth is 1 on the execution day, so the rows of that day are the new targets, and those of the next one what is left of them then
+    buys = F.when(F.col("i") == F.col("i_exec"), F.struct("period", F.col("w0").alias("x"), F.lit(True).alias("bought")))
+    sells = F.when(F.col("i") == F.col("i_next"), F.struct((F.col("period") + 1).alias("period"), (-F.col("wt")).alias("x"), F.lit(False).alias("bought")))
+    orders = held.where("i = i_exec or i = i_next").select("run_id", "asset", F.inline(F.array_compact(F.array(buys, sells)))).repartition("run_id", "period")
+    traded = orders.groupBy("run_id", "period", "asset").agg(F.sum("x").alias("x"), F.max("bought").alias("bought"))
+    traded = traded.groupBy("run_id", "period").agg(F.sum(F.abs("x")).alias("turnover"), F.max("bought").alias("bought")).join(ends, "period")
+    traded = traded.select("run_id", F.col("i_exec").alias("i"), none.alias("gross"), "turnover", F.lit(None).cast("long").alias("n_positions"), "bought")
+    # each run has each date: tables of runs and of dates
+    every = runs.select("run_id").crossJoin(F.broadcast(m.calendar)).select("run_id", "i", zero.alias("gross"), zero.alias("turnover"), no.alias("n_positions"), F.lit(False).alias("bought"))
+    # a run's days are as many as the calendar has, so all of them meet in one place, in order
+    moved = days_of.unionByName(traded).unionByName(every).groupBy("run_id", "i").agg(F.sum("gross").alias("gross"), F.sum("turnover").alias("turnover"), F.max("n_positions").alias("n_positions"), F.max("bought").alias("bought"))
+    live = F.min(F.when(F.col("bought"), F.col("i"))).over(W.partitionBy("run_id"))
+    out = moved.withColumn("live", live).where("live is null or i >= live").join(F.broadcast(m.calendar), "i")
+    return out.select("run_id", "t", "gross", "turnover", "n_positions")
 
 
 def net(days: DataFrame, cost_bps) -> DataFrame:
@@ -96,6 +104,14 @@ def net(days: DataFrame, cost_bps) -> DataFrame:
     return days.withColumn("ret", F.col("gross") - F.col("turnover") * bps / 1e4)
 
 
+def settled_days(days: DataFrame) -> DataFrame:
+    """One run's days as a local table, for what reads them several times: as many rows as the calendar has dates."""
+    types = {"t": pa.date32(), "gross": pa.float64(), "turnover": pa.float64(), "n_positions": pa.int64(), "ret": pa.float64()}
+    rows = days.select("run_id", *types).collect()
+    columns = {"run_id": [r["run_id"] for r in rows]} | {c: [r[c] for r in rows] for c in types}
+    return local(days.sparkSession, columns, run_id=pa.string(), **types)
+
+
 @dataclass
 class Result:
     """One or more runs: daily has ret, turnover and n_positions; weights has the targets by execution date."""
@@ -120,7 +136,7 @@ def run_many(m: Market, scores: DataFrame, specs: dict[str, Spec], mask: DataFra
     if len(costs) == 1:
         d = net(d, costs.pop())
     else:
-        c = scores.sparkSession.createDataFrame([(k, float(s.cost_bps)) for k, s in specs.items()], "run_id string, cost_bps double")
+        c = local(scores.sparkSession, {"run_id": list(specs), "cost_bps": [float(s.cost_bps) for s in specs.values()]}, run_id=pa.string(), cost_bps=pa.float64())
         d = net(d.join(F.broadcast(c), "run_id"), "cost_bps").drop("cost_bps")
     weights = w.join(F.broadcast(m.schedule.select("period", "t_exec")), "period").select("run_id", "t_exec", "asset", F.col("w0").alias("w"))
     return Result(d, weights, m)

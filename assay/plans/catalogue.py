@@ -15,7 +15,7 @@ from assay.operators import signals as S
 from assay.operators import walkforward as WF
 from assay.operators.panel import benchmark_returns, calendar, densify, forward_returns, hygiene, returns, rolling_vol
 from assay.operators.schedule import rebalance_dates, schedule
-from assay.operators.simulate import market, net, run
+from assay.operators.simulate import market, net, run, settled_days
 from assay.operators.universe import Universe
 from assay.sources.panels import brand_months, monthly_leaders, supplier_weeks
 
@@ -39,18 +39,35 @@ def rnd(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
 
 
+_PANELS: dict[str, DataFrame] = {}
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly supplier panel, aggregated once and kept until another one is asked for."""
+    key = f"{spark.sparkContext.applicationId} {sf_dir}"
+    if key not in _PANELS:
+        for df in _PANELS.values():
+            df.unpersist()
+        _PANELS.clear()
+        _PANELS[key] = supplier_weeks(spark, sf_dir).persist()
+    return _PANELS[key]
+
+
 class Panel:
-    """What a query starts from, lazily."""
+    """What a query starts from, lazily but for the calendar."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, spec: P.Spec = WEEKLY):
         self.spark, self.spec = spark, spec
-        self.prices = supplier_weeks(spark, sf_dir)
+        self.prices = weekly(spark, sf_dir)
         self.market = market(self.prices, spec)
         self.scores = signal(self.market.grid)
 
     def base(self, mask: DataFrame | None = None):
         return run(self.prices, self.scores, self.spec, mask, self.market)
 
+    def days(self, mask: DataFrame | None = None):
+        return settled_days(self.base(mask).daily)
+
     def pairs(self):
         return M.scored_forward(self.scores, self.market.grid, rebalance_dates(self.market.calendar), Q.HORIZON)
 
@@ -71,35 +88,35 @@ def panel_weekly(spark, d):
 
 
 def simple_returns(spark, d):
-    return rnd(returns(densify(supplier_weeks(spark, d))).select("t", "asset", "ret"), "ret")
+    return rnd(returns(densify(weekly(spark, d))).select("t", "asset", "ret"), "ret")
 
 
 def forward_returns_(spark, d):
-    return rnd(forward_returns(densify(supplier_weeks(spark, d)), Q.HORIZON).select("t", "asset", "fwd"), "fwd")
+    return rnd(forward_returns(densify(weekly(spark, d)), Q.HORIZON).select("t", "asset", "fwd"), "fwd")
 
 
 def rolling_vol_(spark, d):
-    return rnd(rolling_vol(returns(densify(supplier_weeks(spark, d))), Q.VOL, ann=Q.ANN).select("t", "asset", "vol"), "vol")
+    return rnd(rolling_vol(returns(densify(weekly(spark, d))), Q.VOL, ann=Q.ANN).select("t", "asset", "vol"), "vol")
 
 
 def momentum_zscore(spark, d):
-    return rnd(signal(densify(supplier_weeks(spark, d))), "score")
+    return rnd(signal(densify(weekly(spark, d))), "score")
 
 
 def risk_adj_momentum(spark, d):
-    return rnd(S.risk_adjusted_momentum(densify(supplier_weeks(spark, d)), Q.LOOKBACK, Q.SKIP, 26, 20, Q.ANN), "score")
+    return rnd(S.risk_adjusted_momentum(densify(weekly(spark, d)), Q.LOOKBACK, Q.SKIP, 26, 20, Q.ANN), "score")
 
 
 def noise_scores(spark, d):
-    return rnd(S.noise(densify(supplier_weeks(spark, d)), 7), "score")
+    return rnd(S.noise(densify(weekly(spark, d)), 7), "score")
 
 
 def rebalance_dates_(spark, d):
-    return rebalance_dates(calendar(supplier_weeks(spark, d)))
+    return rebalance_dates(calendar(weekly(spark, d)))
 
 
 def exec_schedule(spark, d):
-    s = schedule(calendar(supplier_weeks(spark, d)))
+    s = schedule(calendar(weekly(spark, d)))
     return s.select(F.col("period").cast("long").alias("period"), "t_signal", "t_exec", F.col("i_exec").cast("long").alias("i_exec"), "t_next")
 
 
@@ -123,11 +140,11 @@ def daily_backtest(spark, d):
 
 
 def headline_metrics(spark, d):
-    return rnd(M.headline(Panel(spark, d).base().daily, Q.ANN), "sharpe", "cagr", "max_drawdown", "annual_turnover", "years")
+    return rnd(M.headline(Panel(spark, d).days(), Q.ANN), "sharpe", "cagr", "max_drawdown", "annual_turnover", "years")
 
 
 def drawdown_path(spark, d):
-    return rnd(M.drawdown_path(Panel(spark, d).base().daily).select("t", "equity", "drawdown"), "equity", "drawdown")
+    return rnd(M.drawdown_path(Panel(spark, d).days()).select("t", "equity", "drawdown"), "equity", "drawdown")
 
 
 def lookahead_canary(spark, d):
@@ -151,7 +168,7 @@ def perm_pvalue(spark, d):
 
 
 def subuniverse_draws(spark, d):
-    assets = supplier_weeks(spark, d).select("asset").distinct()
+    assets = weekly(spark, d).select("asset").distinct()
     total = assets.count()
     return R.subuniverses(assets, [s for s in SIZES if s <= total], DRAWS, SEED)
 
@@ -167,26 +184,26 @@ def breadth_medians(spark, d):
 
 
 def param_grid_sharpes(spark, d):
-    g = A.grid_sharpes(supplier_weeks(spark, d), signal, WEEKLY, GRID)
+    g = A.grid_sharpes(weekly(spark, d), signal, WEEKLY, GRID)
     return rnd(g.select(F.col("lookback").cast("long").alias("lookback"), F.col("skip").cast("long").alias("skip"), "quantile", "sharpe"), "sharpe")
 
 
 def plateau_summary(spark, d):
-    return rnd(A.plateau_summary(A.grid_sharpes(supplier_weeks(spark, d), signal, WEEKLY, GRID)), "share_positive", "median", "p05")
+    return rnd(A.plateau_summary(A.grid_sharpes(weekly(spark, d), signal, WEEKLY, GRID)), "share_positive", "median", "p05")
 
 
 def cost_curve(spark, d):
-    return rnd(A.cost_levels(Panel(spark, d).base().daily, ann=Q.ANN), "sharpe", "cagr")
+    return rnd(A.cost_levels(Panel(spark, d).days(), ann=Q.ANN), "sharpe", "cagr")
 
 
 def cost_breakeven(spark, d):
-    days = Panel(spark, d).base().daily
+    days = Panel(spark, d).days()
     h = M.headline(net(days, 0), Q.ANN)
     return rnd(h.select((F.col("cagr") / F.col("annual_turnover") * 1e4).alias("breakeven_bps"), "annual_turnover", F.col("cagr").alias("gross")), "breakeven_bps", "annual_turnover", "gross")
 
 
 def bootstrap_quantiles(spark, d):
-    return rnd(A.bootstrap_quantiles(Panel(spark, d).base().daily, PATHS, BLOCK, SEED, Q.ANN), "p05", "p50", "p95")
+    return rnd(A.bootstrap_quantiles(Panel(spark, d).days(), PATHS, BLOCK, SEED, Q.ANN), "p05", "p50", "p95")
 
 
 def decile_returns(spark, d):
@@ -208,7 +225,7 @@ def ic_tstat(spark, d):
 def _walk(mode: str, long_short: bool = True):
     def q(spark, d):
         p = Panel(spark, d, WEEKLY.but(long_short=long_short))
-        days = p.base().daily
+        days = p.days()
         w = WF.live_windows(days, mode=mode, **WF_ARGS)
         return rnd(WF.window_table(days, WF.benchmark(p.prices, p.spec), w, WF_DAYS, Q.ANN), "is_edge", "oos_edge", "retained", "oos_t")
 
@@ -216,12 +233,16 @@ def _walk(mode: str, long_short: bool = True):
 
 
 def _walk_long_only(spark, d):
-    """Against the equal-weight mean, whose growth on this panel leaves too few digits of the edges to compare."""
-    return _walk("rolling", False)(spark, d).drop("is_edge", "oos_edge", "retained")
+    """Against the equal-weight mean, whose growth over a window of this panel is astronomic: edges to nine digits of their own."""
+    p = Panel(spark, d, WEEKLY.but(long_short=False))
+    days = p.days()
+    w = WF.live_windows(days, mode="rolling", **WF_ARGS)
+    t = rnd(WF.window_table(days, WF.benchmark(p.prices, p.spec), w, WF_DAYS, Q.ANN), "retained", "oos_t")
+    return t.withColumns({c: F.format_string("%.6e", F.col(c)) for c in ("is_edge", "oos_edge")})
 
 
 def _universe(spark, d):
-    prices = supplier_weeks(spark, d)
+    prices = weekly(spark, d)
     return prices, Universe(monthly_leaders(prices))
 
 
@@ -242,7 +263,7 @@ def universe_mask(spark, d):
 
 def universe_coverage(spark, d):
     prices, u = _universe(spark, d)
-    return u.coverage(prices.where("asset < '5'").select("asset"))
+    return u.coverage(prices.select("asset"))
 
 
 def masked_backtest(spark, d):
@@ -253,12 +274,11 @@ def masked_backtest(spark, d):
 
 
 def hygiene_filter(spark, d):
-    prices = supplier_weeks(spark, d)
-    return hygiene(prices, 2050.0, 80.0).groupBy("asset").agg(F.count("*").alias("n"))
+    return hygiene(weekly(spark, d), 2050.0, 80.0).withColumn("price", F.round("price", 8) + F.lit(0.0))
 
 
 def benchmark_returns_(spark, d):
-    return rnd(benchmark_returns(supplier_weeks(spark, d)), "bench")
+    return rnd(benchmark_returns(weekly(spark, d)), "bench")
 
 
 CASES = [(0.10, 0.08), (0.10, 0.05), (0.10, 0.02), (0.10, -0.03), (-0.02, 0.09), (0.0, 0.09), (None, 0.05), (0.10, None), (0.10, 0.0)]
@@ -271,13 +291,16 @@ def verdict_table(spark, d):
 
 def walkforward_summary(spark, d):
     p = Panel(spark, d)
-    days = p.base().daily
+    days = p.days()
     w = WF.live_windows(days, mode="rolling", **WF_ARGS)
     return rnd(WF.summary(WF.window_table(days, None, w, WF_DAYS, Q.ANN)), "median_retained", "median_oos")
 
 
+STUDY_LIMITS = {"min_sharpe": 0.5, "min_ic_tstat": 2.0, "max_turnover": 30, "min_years": 5}
+
+
 def study_findings(spark, d):
-    """The findings of a whole study as rows; their texts are not SQL's to make."""
+    """The findings of a whole study as rows, without their texts. The criteria are a small file of the driver's own."""
     import json
     import tempfile
     from pathlib import Path
@@ -286,10 +309,24 @@ def study_findings(spark, d):
 
     with tempfile.TemporaryDirectory() as folder:
         path = Path(folder) / "criteria.json"
-        path.write_text(json.dumps({"hypothesis": "prices go on as they went", "kill_criteria": {"min_sharpe": 0.5, "min_ic_tstat": 2.0, "max_turnover": 30, "min_years": 5}}))
-        s = Study("weekly momentum", supplier_weeks(spark, d), signal, path, WEEKLY, horizon=Q.HORIZON, canary_shift=8, bootstrap=(PATHS, BLOCK), breadth=(SIZES, DRAWS),
-                  walk_forward={"mode": "single", "train_years": 3.0, "min_days": WF_DAYS}, param_grid={"lookback": [26, 52], "quantile": [0.1, 0.2]})
-        return s.run(permutations=TRIALS, verbose=False).to_frame(spark)
+        path.write_text(json.dumps({"hypothesis": "prices go on as they went", "kill_criteria": STUDY_LIMITS}))
+        s = Study("weekly momentum", weekly(spark, d), signal, path, WEEKLY, horizon=Q.HORIZON, canary_shift=8, bootstrap=(PATHS, BLOCK), breadth=(SIZES, DRAWS),
+                  walk_forward={"mode": "single", "min_days": WF_DAYS, **WF_ARGS}, param_grid=GRID)
+        return s.run(permutations=TRIALS, verbose=False).to_frame(spark).select("attack", "passed", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+
+
+def _study_sql(of: dict[str, str]) -> str:
+    """What each attack's own query finds, held against the study's limits."""
+    broad = "coalesce(min(median_sharpe) FILTER (size >= 100) > 0, false)"
+    rows = [
+        ("Minimum Sharpe", f"sharpe >= {STUDY_LIMITS['min_sharpe']}", "sharpe", "headline_metrics"), ("Turnover ceiling", f"annual_turnover <= {STUDY_LIMITS['max_turnover']}", "annual_turnover", "headline_metrics"),
+        ("Cost sensitivity", "breakeven_bps >= 20", "breakeven_bps", "cost_breakeven"), ("Bootstrap", "p05 > 0", "p05", "bootstrap_quantiles"),
+        ("Walk-forward", "min(verdict) = 'PRESERVED' AND max(verdict) = 'PRESERVED'", "median(oos_edge)", "walkforward_single"), ("Decile monotonicity", "rho > 0.6", "rho", "decile_monotonicity"),
+        ("Signal IC t-stat", f"abs(tstat) >= {STUDY_LIMITS['min_ic_tstat']}", "tstat", "ic_tstat"),
+        ("Look-ahead canary", "max(sharpe) FILTER (run_id = 'shifted') - max(sharpe) FILTER (run_id = 'honest') > 0.5", "max(sharpe) FILTER (run_id = 'shifted') - max(sharpe) FILTER (run_id = 'honest')", "lookahead_canary"),
+        ("Parameter plateau", "share_positive >= 0.8", "share_positive", "plateau_summary"), ("Breadth", broad, "max_by(median_sharpe, size)", "breadth_medians"), ("Permutation null", "p <= 0.05", "p", "perm_pvalue"),
+    ]
+    return "\nUNION ALL ".join(f"SELECT '{name}' AS attack, coalesce({passed}, false) AS passed, round({value}, 5) + 0.0 AS value FROM ({of[query]})" for name, passed, value, query in rows)
 
 
 def queries() -> dict:
@@ -396,7 +433,7 @@ def oracle_sql() -> dict[str, str]:
     }
     cases = ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in c) + ")" for c in CASES)
     day0 = date(1998, 6, 30).isoformat()
-    return {
+    out = {
         "panel_weekly": q("SELECT t, asset, round(price, 8) + 0.0 AS price FROM prices", "prices"),
         "simple_returns": q(f"SELECT t, asset, {r('ret')} AS ret FROM rets", "rets"),
         "forward_returns": q(f"SELECT t, asset, {r('fwd')} AS fwd FROM fwds", "fwds"),
@@ -438,14 +475,15 @@ def oracle_sql() -> dict[str, str]:
             mrk=(["means"], "SELECT bucket, m, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0 AS a, CAST(bucket AS DOUBLE) AS b FROM means")),
         "rank_ic": q(f"SELECT t, {r('ic')} AS ic, n FROM ics", rk=(["pairs"], ranked), ics=(["rk"], ics)),
         "ic_tstat": q(f"SELECT {r('avg(ic)')} AS mean_ic, {r('avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(ic))')} AS tstat, count(ic) AS n_dates FROM ics", rk=(["pairs"], ranked), ics=(["rk"], ics)),
-        "walkforward_single": _walk_sql("single"), "walkforward_anchored": _walk_sql("anchored"), "walkforward_rolling": _walk_sql("rolling"), "walkforward_long_only": _walk_sql("rolling", False, 'SELECT "window", train, test, {oos_t}, verdict FROM judged'),
+        "walkforward_single": _walk_sql("single"), "walkforward_anchored": _walk_sql("anchored"), "walkforward_rolling": _walk_sql("rolling"), "walkforward_long_only": _walk_sql("rolling", False, """SELECT "window", train, test, printf('%.6e', is_edge) AS is_edge, printf('%.6e', oos_edge) AS oos_edge, {retained}, {oos_t}, verdict FROM judged"""),
         "walkforward_summary": _walk_sql("rolling", final=f"SELECT min_by(verdict, CASE verdict WHEN 'SIGN_FLIP' THEN 1 WHEN 'NO_TRAIN_EDGE' THEN 2 WHEN 'DEGRADED' THEN 3 ELSE 4 END) AS verdict, count(*) AS n, {r('median(retained)')} AS median_retained, CAST(count(*) FILTER (abs(oos_t) >= 2) AS BIGINT) AS n_significant, {r('median(oos_edge)')} AS median_oos FROM judged"),
         "universe_members": q(f"SELECT asset AS ticker FROM members WHERE valid_from = (SELECT max(valid_from) FROM members WHERE valid_from <= DATE '{day0}')", **members),
         "universe_tickers": q("SELECT DISTINCT asset AS ticker FROM members", **members),
         "universe_mask": q("SELECT t, asset, eligible FROM mask", **mask),
-        "universe_coverage": q("SELECT count(*) FILTER (asset < '5') AS have, count(*) AS want FROM (SELECT DISTINCT asset FROM members)", **members),
+        "universe_coverage": q("SELECT count(*) FILTER (asset IN (SELECT asset FROM assets)) AS have, count(*) AS want FROM (SELECT DISTINCT asset FROM members)", "assets", **members),
         "masked_backtest": q(day, "daily", **mask, picks=(["scores", "mask"], Q.ONE + " JOIN mask m ON m.t = s.t AND m.asset = s.asset AND m.eligible"), runs=([], "SELECT 'base' AS run_id")),
-        "hygiene_filter": q("SELECT p.asset, count(*) AS n FROM prices p JOIN (SELECT asset FROM rets GROUP BY asset HAVING median(price) >= 2050 AND max(abs(ret)) < 80) g ON g.asset = p.asset GROUP BY p.asset", "rets"),
+        "hygiene_filter": q("SELECT p.t, p.asset, round(p.price, 8) + 0.0 AS price FROM prices p JOIN (SELECT asset FROM rets GROUP BY asset HAVING median(price) >= 2050 AND max(abs(ret)) < 80) g ON g.asset = p.asset", "rets"),
         "benchmark_returns": q(f"SELECT t, {r('coalesce(avg(ret), 0)')} AS bench FROM rets GROUP BY t", "rets"),
         "verdict_table": f"SELECT CAST(is_edge AS DOUBLE) AS is_edge, CAST(oos_edge AS DOUBLE) AS oos_edge, CASE WHEN is_edge IS NULL OR is_edge <= 0 THEN 'NO_TRAIN_EDGE' WHEN oos_edge IS NULL OR oos_edge < 0 THEN 'SIGN_FLIP' WHEN oos_edge >= 0.5 * is_edge THEN 'PRESERVED' ELSE 'DEGRADED' END AS verdict FROM (VALUES {cases}) v(is_edge, oos_edge)",
     }
+    return out | {"study_findings": _study_sql(out)}

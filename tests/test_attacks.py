@@ -71,7 +71,7 @@ def test_deciles_and_ic(planted):
     t = M.ic_tstat(M.rank_ic(pairs)).first()
     assert t["tstat"] > 2 and t["mean_ic"] > 0
     empty = A.decile_monotonicity(pairs.where("false"))
-    assert not empty.passed and "no date" in empty.detail
+    assert not empty.passed and "too few" in empty.detail
 
 
 def test_costs_bootstrap_breadth_plateau(planted):
@@ -82,7 +82,7 @@ def test_costs_bootstrap_breadth_plateau(planted):
     assert not A.cost_curve(run(prices, noise, SPEC, None, m).daily, SPEC).passed
     assert A.block_bootstrap(days, n=60).passed
     short = A.block_bootstrap(days.orderBy("t").limit(40))
-    assert not short.passed and "too few days" in short.detail
+    assert not short.passed and "too short" in short.detail
     b = A.breadth_curve(prices, momentum, SPEC, sizes=(20, 40, 500), draws=2, m=m)
     assert [r["size"] for r in b.table.collect()] == [20, 40] and not b.passed  # no size of 100 or more
     assert A.breadth_curve(prices, momentum, SPEC, sizes=(500,), m=m).passed
@@ -105,7 +105,7 @@ def test_walk_forward(planted):
     few = WF.walk_forward(days.limit(30), prices, SPEC)
     assert not few.passed and "two sides" in few.detail
     none = WF.walk_forward(days, prices, SPEC, mode="rolling", min_days=60)
-    assert not none.passed and "in no window" in none.detail
+    assert not none.passed and "no window" in none.detail
     b = benchmark_returns(prices)
     assert b.count() == 500 and b.orderBy("t").first()["bench"] == 0
 
@@ -124,7 +124,7 @@ def test_windows():
     assert mid.train[1] == date(2012, 1, 3) and mid.test[0] == date(2012, 1, 4)  # a middle at noon is on neither side
     (cut,) = WF.make_windows(a, b, "single", split="2015-06-01")
     assert cut.train[1] == date(2015, 6, 1)
-    assert "train 2012-01" in cut.describe()
+    assert cut.span("train").startswith("2012-01")
 
 
 @pytest.mark.parametrize("i,o,want", [(0.1, 0.08, "PRESERVED"), (0.1, 0.05, "PRESERVED"), (0.1, 0.02, "DEGRADED"), (0.1, -0.03, "SIGN_FLIP"), (-0.02, 0.09, "NO_TRAIN_EDGE"), (0.0, 0.09, "NO_TRAIN_EDGE"), (math.nan, 0.05, "NO_TRAIN_EDGE"), (0.1, math.nan, "SIGN_FLIP"), (0.1, 0.0, "DEGRADED")])

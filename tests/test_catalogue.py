@@ -30,7 +30,7 @@ def test_study_runs_at_full_size(spark, sf, monkeypatch):
             return self
 
         def to_frame(self, spark):
-            return None
+            return spark.createDataFrame([], "attack string, passed boolean, value double")
 
     monkeypatch.setattr("assay.study.Study", Seen)
     catalogue.study_findings(spark, sf)
