@@ -312,7 +312,7 @@ def study_findings(spark, d):
         path.write_text(json.dumps({"hypothesis": "prices go on as they went", "kill_criteria": STUDY_LIMITS}))
         s = Study("weekly momentum", weekly(spark, d), signal, path, WEEKLY, horizon=Q.HORIZON, canary_shift=8, bootstrap=(PATHS, BLOCK), breadth=(SIZES, DRAWS),
                   walk_forward={"mode": "single", "min_days": WF_DAYS, **WF_ARGS}, param_grid=GRID)
-        return s.run(permutations=TRIALS, verbose=False).to_frame(spark).select("attack", "passed", (F.round("value", 5) + F.lit(0.0)).alias("value"))
+        return s.run(permutations=TRIALS, verbose=False).to_frame(spark).select("attack", "passed", (F.round("value", 6) + F.lit(0.0)).alias("value"))
 
 
 def _study_sql(of: dict[str, str]) -> str:
@@ -326,7 +326,7 @@ def _study_sql(of: dict[str, str]) -> str:
         ("Look-ahead canary", "max(sharpe) FILTER (run_id = 'shifted') - max(sharpe) FILTER (run_id = 'honest') > 0.5", "max(sharpe) FILTER (run_id = 'shifted') - max(sharpe) FILTER (run_id = 'honest')", "lookahead_canary"),
         ("Parameter plateau", "share_positive >= 0.8", "share_positive", "plateau_summary"), ("Breadth", broad, "max_by(median_sharpe, size)", "breadth_medians"), ("Permutation null", "p <= 0.05", "p", "perm_pvalue"),
     ]
-    return "\nUNION ALL ".join(f"SELECT '{name}' AS attack, coalesce({passed}, false) AS passed, round({value}, 5) + 0.0 AS value FROM ({of[query]})" for name, passed, value, query in rows)
+    return "\nUNION ALL ".join(f"SELECT '{name}' AS attack, coalesce({passed}, false) AS passed, {Q.rounded(value)} AS value FROM ({Q.finer(of[query])})" for name, passed, value, query in rows)
 
 
 def queries() -> dict:

@@ -52,8 +52,13 @@ SHARPE = f"avg(ret) / nullif(stddev_samp(ret), 0) * sqrt({ANN})"
 CAGR = f"CASE WHEN product(1 + ret) > 0 THEN pow(product(1 + ret), {ANN}.0 / count(ret)) - 1 ELSE -1 END"
 
 
-def rounded(x: str) -> str:
-    return f"round({x}, 6) + 0.0"
+def rounded(x: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0"
+
+
+def finer(sql: str) -> str:
+    """SQL whose numbers are rounded again later: with digits to spare."""
+    return sql.replace(", 6) + 0.0", ", 12) + 0.0")
 
 
 def query(final: str, *parts: str, **own: tuple[list[str], str]) -> str:
