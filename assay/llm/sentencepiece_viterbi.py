@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding: streaming Viterbi.
 
 The best segmentation of a text into vocabulary pieces (greatest sum of the pieces' scores; ties go to the longer last piece) is found
-left to right. Only a window of positions, as long as the longest piece, can still begin a piece that matters;
-ids are committed as soon as all surviving backpointer paths go through one boundary. `StreamingViterbi` does that for a
-stream of bytes of any length. The batch path is the same recursion over many words in lockstep: no piece has the
-white-space mark inside, so all paths converge before each word; each distinct word of a batch is segmented once, and
-within it every boundary that no piece spans commits what stands before it. Words longer than LONG bytes go through
-`StreamingViterbi`.
+left to right over a stream of bytes of any length. A position is settled once all that a piece from it may span has come, so only a window as long as the
+longest piece stays open. Ids are committed up to the last boundary that the backpointer paths of all open positions go through, and what
+stands behind it is carried on. Within the bytes that are there, all stretches between boundaries that no piece spans go in lockstep.
+
+No piece has the white-space mark inside, so all paths meet before each word: a word's ids, once committed, hold wherever it stands again, and each
+distinct word (with the marks before it) of a worker goes through the stream once.
 
 The vocabulary file is a byte-fallback model, given by path and read on the driver; its bytes travel with the job. A mark character
 that a text itself holds is encoded by its bytes, so decoding returns every text exactly.
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, portions, prefix_hashes, span_hash, table
+from .common import arrow_map, portions, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 #: A byte that UTF-8 never has stands for a mark that the text itself holds.
 OWN_MARK = 0xFE
-LONG = 4096
+#: Bytes that go into the stream at once.
+STEP = 1 << 18
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -114,114 +115,63 @@ class Vocabulary:
         return [int(self.byte_id[b]) for b in (MARK if raw == bytes([OWN_MARK]) else raw)]
 
 
-def char_len(lead: int) -> int:
-    return 1 if lead < 0x80 or lead >= 0xF8 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-
-
 class StreamingViterbi:
-    """Segments a stream of normalised bytes, holding at most a window of it. feed() and finish() yield committed ids."""
+    """Segments a stream of normalised bytes. feed() and finish() give what is committed: ids (-2 for an unknown character), and where each piece ends in the stream."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.base = 0  # stream position of buf[0], a committed boundary
-        self.buf = bytearray()
-        self.best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, -1)}  # position: score, start of its last piece, id
-        self.done = 0  # positions before it have been extended
-
-    def feed(self, data: bytes):
-        self.buf += data
-        # a position can be extended once all that a piece from it may span is there
-        yield from self._advance(self.base + len(self.buf) - self.v.longest - 4)
-
-    def finish(self):
-        yield from self._advance(self.base + len(self.buf))
-        yield from self._commit(self.base + len(self.buf))
-
-    def _advance(self, limit: int):
-        v, checked = self.v, 0
-        while self.done < limit:
-            at = self.done - self.base
-            if self.done in self.best:
-                score = self.best[self.done][0]
-                node, n = 0, char_len(self.buf[at])
-                single = False
-                for k in range(at, min(len(self.buf), at + v.longest)):
-                    node = v.children[node].get(self.buf[k])
-                    if node is None:
-                        break
-                    piece = int(v.final[node])
-                    if piece >= 0:
-                        single |= k + 1 - at == n
-                        self._relax(self.base + k + 1, score + v.scores[piece], piece)
-                if not single:
-                    self._relax(self.done + n, score + v.unknown, -2)
-            self.done += 1
-            checked += 1
-            if checked % 64 == 0:
-                yield from self._converge()
-
-    def _relax(self, end: int, score: float, piece: int) -> None:
-        if end not in self.best or score > self.best[end][0]:
-            self.best[end] = (score, self.done, piece)
-
-    def _converge(self):
-        """Commit up to the last boundary that all paths to positions still open go through."""
-        open_ = {p for p in self.best if p >= self.done}
-        while len(open_) > 1:
-            last = max(open_)
-            if last <= self.base:
-                break
-            open_.discard(last)
-            open_.add(self.best[last][1])
-        if open_ and (p := open_.pop()) > self.base and p <= self.done:
-            yield from self._commit(p)
-
-    def _commit(self, to: int):
-        out, p = [], to
-        while p > self.base:
-            _, start, piece = self.best[p]
-            raw = bytes(self.buf[start - self.base : p - self.base])
-            out.append(self.v.spell(raw) if piece == -2 else [piece])
-            p = start
-        for ids in reversed(out):
-            yield from ids
-        del self.buf[: to - self.base]
-        self.best = {p: x for p, x in self.best.items() if p >= to}
-        score = self.best[to][0]
-        self.best = {p: (x[0] - score, x[1], x[2]) for p, x in self.best.items()}
-        self.base = to
-
-
-def normal_bytes(text: str) -> bytes:
-    """The text as the vocabulary sees it: marks for spaces, one of them in front."""
-    return MARK + text.encode("utf-8", "replace").replace(MARK, bytes([OWN_MARK])).replace(b" ", MARK)
-
-
-def stream_ids(v: Vocabulary, data: bytes, step: int = 1 << 16) -> list[int]:
-    s = StreamingViterbi(v)
-    out: list[int] = []
-    for at in range(0, len(data), step):
-        out.extend(s.feed(data[at : at + step]))
-    out.extend(s.finish())
-    return out
-
-
-def segment_words(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
-    """The ids of each word. All words go in lockstep, position by position."""
-    lens = np.array([len(w) for w in words], np.int64)
-    b = np.frombuffer(b"".join(words), np.uint8)
-    begin = np.concatenate([[0], np.cumsum(lens)])
-    stop = np.repeat(begin[1:], lens)
-    # edges: pieces by their start and end
-    lead = (b & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
-    width = np.ones(256, np.int64)
-    width[0xC0:0xE0], width[0xE0:0xF0], width[0xF0:0xF8] = 2, 3, 4
+        self.base = 0  # stream position of the first byte that is not committed
+        self.held = b""
+
+    def feed(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        self.held += data
+        return self._commit(len(self.held) - self.v.longest - 4)
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._commit(len(self.held))
+
+    def _commit(self, settled: int) -> tuple[np.ndarray, np.ndarray]:
+        """Commits what all paths over the first `settled` bytes share."""
+        none = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if settled <= 0:
+            return none
+        b = np.frombuffer(self.held, np.uint8)
+        s, e, i = edges(self.v, b, settled)
+        piece, start, free = best_paths(self.v, s, e, i, len(b))
+        if settled < len(b):
+            to = self._meeting(start, np.unique(e[e >= settled]).tolist())
+        else:
+            to = len(b)
+        if not to:
+            return none
+        ids, ends = walked(piece, start, free, to)
+        self.held = self.held[to:]
+        self.base += to
+        return ids, ends + (self.base - to)
+
+    @staticmethod
+    def _meeting(start: np.ndarray, open_: list[int]) -> int:
+        """The last boundary that the paths to all open positions go through."""
+        paths = set(open_)
+        while len(paths) > 1:
+            last = max(paths)
+            paths.discard(last)
+            paths.add(int(start[last]))
+        return paths.pop() if paths else 0
+
+
+_WIDTH = np.ones(256, np.int64)
+_WIDTH[0xC0:0xE0], _WIDTH[0xE0:0xF0], _WIDTH[0xF0:0xF8] = 2, 3, 4
+
+
+def edges(v: Vocabulary, b: np.ndarray, settled: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, id) of all pieces that begin before `settled`; a character that is no piece is one of id -2."""
+    at = np.flatnonzero((b[:settled] & 0xC0) != 0x80)
     single = np.zeros(len(b), bool)
     node, start = np.zeros(len(at), np.int32), at
     starts, ends, ids = [], [], []
     for k in range(v.longest):
-        alive = start + k < stop[start]
+        alive = start + k < len(b)
         start, node = start[alive], node[alive]
         node = v.next[node, b[start + k]]
         alive = node > 0
@@ -233,34 +183,34 @@ def segment_words(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
         starts.append(start[hit])
         ends.append(start[hit] + k + 1)
         ids.append(piece[hit])
-        single[start[hit][width[b[start[hit]]] == k + 1]] = True
+        single[start[hit][_WIDTH[b[start[hit]]] == k + 1]] = True
     rest = at[~single[at]]
     starts.append(rest)
-    ends.append(np.minimum(rest + width[b[rest]], stop[rest]))
+    ends.append(np.minimum(rest + _WIDTH[b[rest]], len(b)))
     ids.append(np.full(len(rest), -2, np.int32))
-    s, e, i = np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
+
+
+def best_paths(v: Vocabulary, s: np.ndarray, e: np.ndarray, i: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each position the id and the start of the last piece of the best path to it, and whether no piece spans it."""
     score = np.where(i >= 0, v.scores[np.maximum(i, 0)], v.unknown)
-    # boundaries that no piece spans commit what stands before them: each stretch between two of them is a problem of its own
-    cover = np.zeros(len(b) + 2, np.int64)
+    # each stretch between two positions that no piece spans is a problem of its own, and all go in lockstep by their depth
+    cover = np.zeros(n + 2, np.int64)
     wide = e - s > 1
     np.add.at(cover, s[wide] + 1, 1)
     np.add.at(cover, e[wide], -1)
-    free = np.cumsum(cover[: len(b)]) == 0
-    free[begin[:-1][lens > 0]] = True
-    origin = np.maximum.accumulate(np.where(free, np.arange(len(b)), 0))
+    free = np.cumsum(cover[:n]) == 0
+    free[0] = True
+    origin = np.maximum.accumulate(np.where(free, np.arange(n), 0))
     depth = e - origin[s]
     order = np.lexsort((s, e, depth))
     s, e, i, score, depth = s[order], e[order], i[order], score[order], depth[order]
-    best = np.zeros(len(b) + 1)
-    back_piece = np.full(len(b) + 1, -1, np.int32)
-    back_start = np.zeros(len(b) + 1, np.int64)
-    # best[] of a stretch's first position is 0; its last position is the next one's first, so ends are kept apart
-    value = np.zeros(len(b) + 1)
+    best = np.zeros(n + 1)
+    piece, start = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int64)
     cuts = np.flatnonzero(np.diff(depth)) + 1
     for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(s)]])):
-        if lo == hi:
-            continue
         ss, ee = s[lo:hi], e[lo:hi]
+        # a stretch begins at 0, whatever the one before it came to
         c = np.where(free[ss], 0.0, best[ss]) + score[lo:hi]
         group = np.concatenate([[0], np.flatnonzero(np.diff(ee)) + 1])
         top = np.maximum.reduceat(c, group)
@@ -269,89 +219,84 @@ def segment_words(v: Vocabulary, words: list[bytes]) -> list[np.ndarray]:
         which = np.repeat(np.arange(len(group)), size)[winner]
         winner = winner[np.concatenate([[True], np.diff(which) > 0])]
         end = ee[winner]
-        best[end] = value[end] = top
-        back_piece[end], back_start[end] = i[lo:hi][winner], ss[winner]
-    # walk all words back together
-    pos, owner = begin[1:][lens > 0].copy(), np.flatnonzero(lens > 0)
-    out_owner, out_pos, out_piece, out_start = [], [], [], []
+        best[end] = top
+        piece[end], start[end] = i[lo:hi][winner], ss[winner]
+    return piece, start, free
+
+
+def walked(piece: np.ndarray, start: np.ndarray, free: np.ndarray, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and ends of the pieces on the best path up to a boundary, all stretches walked back together."""
+    begin = np.flatnonzero(free[:to])
+    pos = np.concatenate([begin[1:], [to]])
+    out = np.zeros(to + 1, bool)
     while len(pos):
-        out_owner.append(owner)
-        out_pos.append(pos)
-        out_piece.append(back_piece[pos])
-        pos = back_start[pos]
-        out_start.append(pos)
-        go = pos > begin[owner]
-        pos, owner = pos[go], owner[go]
-    if not out_owner:
-        return [np.zeros(0, np.int32)] * len(words)
-    owner, pos, piece, start = map(np.concatenate, (out_owner, out_pos, out_piece, out_start))
-    order = np.lexsort((pos, owner))
-    owner, pos, piece, start = owner[order], pos[order], piece[order], start[order]
-    edge = np.searchsorted(owner, np.arange(len(words) + 1))
-    spelled = np.flatnonzero(piece == -2)
-    odd = set(owner[spelled].tolist())
-    out = [piece[edge[w] : edge[w + 1]] for w in range(len(words))]
-    for w in odd:
-        own: list[int] = []
-        for k in range(edge[w], edge[w + 1]):
-            own += v.spell(b[start[k] : pos[k]].tobytes()) if piece[k] == -2 else [int(piece[k])]
-        out[w] = np.array(own, np.int32)
+        out[pos] = True
+        pos = start[pos]
+        go = pos > begin
+        pos, begin = pos[go], begin[go]
+    ends = np.flatnonzero(out)
+    return piece[ends], ends
+
+
+def normal_bytes(text: str) -> bytes:
+    """The text as the vocabulary sees it: marks for spaces, one of them in front."""
+    return MARK + text.encode("utf-8", "replace").replace(MARK, bytes([OWN_MARK])).replace(b" ", MARK)
+
+
+def stream_ids(v: Vocabulary, parts: list[bytes], step: int = STEP) -> list[np.ndarray]:
+    """The ids of each part of one stream. Parts begin with a mark, and none ends with one, so that no piece spans two."""
+    data, stream = b"".join(parts), StreamingViterbi(v)
+    got = [stream.feed(data[at : at + step]) for at in range(0, len(data), step)] + [stream.finish()]
+    ids, ends = (np.concatenate(x) for x in zip(*got))
+    edge = np.searchsorted(ends, np.cumsum([len(p) for p in parts]), "right")
+    out = np.split(ids, edge[:-1]) if len(parts) else []
+    for k in np.unique(np.searchsorted(edge, np.flatnonzero(ids == -2), "right")).tolist():
+        # unknown characters are spelled in bytes
+        first = edge[k - 1] if k else 0
+        spelled: list[int] = []
+        for n in range(first, edge[k]):
+            begin = ends[n - 1] if n else 0
+            spelled += v.spell(data[begin : ends[n]]) if ids[n] == -2 else [int(ids[n])]
+        out[k] = np.array(spelled, np.int32)
     return out
 
 
 CACHED_WORDS = 150_000
+CACHED_BYTES = 64
+
+
+def words_of(text: str) -> list[bytes]:
+    """The parts of a text's bytes: each a run of marks and the word behind it; marks at the end are a part of their own."""
+    data = (b" " + text.encode("utf-8", "replace").replace(MARK, bytes([OWN_MARK]))).split(b" ")[1:]
+    out, run = [], 1
+    for n, w in enumerate(data):
+        if w or n == len(data) - 1:
+            out.append(MARK * run + w)
+            run = 1
+        else:
+            run += 1
+    return out
 
 
 def encode_batch(v: Vocabulary, texts: list[str | None]) -> list[np.ndarray]:
-    """Ids of each text. Words seen before on this worker are looked up; the table of them is emptied when it is full."""
-    split = []
+    """Ids of each text. Words that this worker has seen are looked up; the table of them is emptied when it is full. Long ones are not kept in it."""
     if len(v.cache) > CACHED_WORDS:
         v.cache.clear()
-    cache, new = v.cache, {}
-    for t in texts:
-        if not t:
-            split.append(())
-            continue
-        words = (b" " + t.encode("utf-8", "replace").replace(MARK, bytes([OWN_MARK]))).split(b" ")[1:]
-        split.append(words)
-        for w in words:
-            if w not in cache:
-                new[w] = None
-    # an empty word is a space before another one: runs of marks can be one piece, so texts with double spaces go whole, run by run
-    short = [w for w in new if w and len(w) <= LONG]
-    for lo in range(0, len(short), 50_000):
-        part = short[lo : lo + 50_000]
-        for w, ids in zip(part, segment_words(v, [MARK + w for w in part])):
-            cache[w] = ids
+    split = [words_of(t) if t else () for t in texts]
+    new = list(dict.fromkeys(w for words in split for w in words if w not in v.cache))
+    # a part that is nothing but marks could share a piece with the marks of a next one: it ends a stream of its own
+    ending = [w for w in new if w.endswith(MARK)]
+    known = {w: stream_ids(v, [w])[0] for w in ending}
+    inner = [w for w in new if not w.endswith(MARK)]
+    known |= zip(inner, stream_ids(v, inner))
+    v.cache.update((w, ids) for w, ids in known.items() if len(w) <= CACHED_BYTES)
     out = []
     for words in split:
-        ids, run = [], 0
-        for n, w in enumerate(words):
-            if not w and n < len(words) - 1:
-                run += 1
-            elif run or not w:
-                ids.append(_with_run(v, run + 1, w))
-                run = 0
-            else:
-                got = cache.get(w)
-                ids.append(got if got is not None else np.array(stream_ids(v, MARK + w), np.int32))
+        ids = [v.cache[w] if w in v.cache else known[w] for w in words]
         out.append(np.concatenate(ids) if ids else np.zeros(0, np.int32))
     return out
 
 
-def _with_run(v: Vocabulary, marks: int, word: bytes) -> np.ndarray:
-    """Ids of a word after several marks, which may share a piece with it."""
-    data = MARK * marks + word
-    if len(data) > LONG:
-        return np.array(stream_ids(v, data), np.int32)
-    if len(word) > 64:
-        return segment_words(v, [data])[0]
-    key = data  # starts with a mark, which no cached word does
-    if key not in v.cache:
-        v.cache[key] = segment_words(v, [data])[0]
-    return v.cache[key]
-
-
 def decode(v: Vocabulary, ids) -> str:
     data = b"".join(map(v.bytes.__getitem__, ids))
     return data[1:].decode("utf-8", "replace") if data[:1] == b" " else data.decode("utf-8", "replace")

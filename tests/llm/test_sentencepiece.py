@@ -25,7 +25,11 @@ def test_round_trip_and_stream_agree(text):
     assert S.decode(v, ids) == text
     if text:
         for step in (1, 5, 1000):
-            assert S.stream_ids(v, S.normal_bytes(text), step) == ids
+            assert S.stream_ids(v, [S.normal_bytes(text)], step)[0].tolist() == ids
+
+
+def char_len(lead):
+    return 1 if lead < 0x80 or lead >= 0xF8 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
 
 
 def full_viterbi(v, data):
@@ -37,7 +41,7 @@ def full_viterbi(v, data):
     for s in range(len(data)):
         if best[s] is None or (data[s] & 0xC0) == 0x80:
             continue
-        n, single = S.char_len(data[s]), False
+        n, single = char_len(data[s]), False
         node = 0
         for e in range(s, min(len(data), s + v.longest)):
             node = v.children[node].get(data[e])
@@ -78,13 +82,31 @@ def test_equals_library_on_known_characters(v):
 
 
 def test_window_stays_bounded(v):
-    s = S.StreamingViterbi(v)
-    most = 0
-    for _ in range(200):
-        list(s.feed(b"thing and " * 20))
-        most = max(most, len(s.buf), len(s.best))
-    list(s.finish())
-    assert most < 200 + 64 + 3 * v.longest
+    s, most, ids = S.StreamingViterbi(v), 0, []
+    text = b"".join(S.words_of("thing and other words " * 200))
+    for at in range(0, len(text), 50):
+        ids += s.feed(text[at : at + 50])[0].tolist()
+        most = max(most, len(s.held))
+    assert most <= 64 + 2 * v.longest
+    assert ids + s.finish()[0].tolist() == full_viterbi(v, text)
+
+
+def test_commits_only_what_all_paths_share(v):
+    """Whatever follows, ids that were committed are those of the whole stream."""
+    head = S.normal_bytes("an unbelievable misunderstanding of internationalisation")
+    for cut in (c for c in range(20, len(head)) if head[c] & 0xC0 != 0x80):
+        for tail in (b"s", b"able thing", b"\xe2\x96\x81x", b"zzz"):
+            s = S.StreamingViterbi(v)
+            early = s.feed(head[:cut])[0].tolist()
+            s.feed(tail * 10)
+            whole = full_viterbi(v, head[:cut] + tail * 10)
+            assert whole[: len(early)] == early
+
+
+def test_long_words_take_the_same_path(v):
+    for n in (4095, 4097, 20_000):
+        text = ("anderthtion" * 2000)[:n]
+        assert S.encode_batch(v, [text])[0].tolist() == S.stream_ids(v, [S.normal_bytes(text)], 512)[0].tolist()
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
