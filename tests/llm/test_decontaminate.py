@@ -1,8 +1,12 @@
+import time
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from assay.llm import decontaminate as D
-from assay.llm.common import shingle_hashes, word_hashes
+from assay.llm.common import word_hashes
 
 
 def plain_tiles(a, b, least=D.MIN_MATCH):
@@ -31,10 +35,41 @@ def test_tiles_equal_plain_version(seed):
     doc = [f"z{x}" for x in range(10)] + item[25:] + ["gap"] * 3 + item[:18] + [f"w{x}" for x in rng.integers(0, 200, 20)] + item[5:15]
     index = D.seed_index([(7, " ".join(item))])
     words, _ = word_hashes([" ".join(doc)])
-    got = D.coverages(shingle_hashes(words, D.MIN_MATCH), index)
+    got = D.coverages(words, index)
     assert got.get(0, 0) == pytest.approx(plain_tiles(item, doc) / len(item))
 
 
+@given(st.lists(st.integers(0, 2), max_size=30), st.lists(st.integers(0, 2), max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_few_different_words(a, b):
+    """Many equal seeds, many ties."""
+    item, doc = [f"w{x}" for x in a], [f"w{x}" for x in b]
+    words, _ = word_hashes([" ".join(doc)])
+    got = D.coverages(words, D.seed_index([(0, " ".join(item))])).get(0, 0)
+    want = plain_tiles(item, doc) / len(item) if len(item) >= 5 else float(0 < len(item) and item == doc)
+    assert got == pytest.approx(want)
+
+
+def test_running_hashes_depend_on_the_words_alone():
+    words, _ = word_hashes(["a b c d e a b c d e x a b c"])
+    h = D.Running(words).hashes(np.arange(12), 3)
+    assert h[0] == h[5] == h[11] and len(set(h.tolist())) == 8
+
+
+def test_repeated_words_cost_no_product():
+    index = D.seed_index([(0, "word " * 1000)])
+    words, _ = word_hashes(["word " * 20_000])
+    start = time.perf_counter()
+    assert D.coverages(words, index) == {0: 1.0}
+    assert time.perf_counter() - start < 1
+
+
+def test_short_items_are_met_whole(spark):
+    bench = spark.createDataFrame([(0, "two words"), (1, "Three short words")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "Two words!"), (2, "here are two words"), (3, "three short words"), (4, "words")], "doc_id long, text string")
+    assert {r["doc_id"]: r["items"] for r in D.contamination(d, bench).collect()} == {1: "0", 2: "", 3: "1", 4: ""}
+
+
 def test_reordered_passages_are_caught_and_clean_ones_left(spark):
     item = " ".join(f"alpha{i}" for i in range(30))
     w = item.split()
