@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the cluster names no shared folder, as in tests.
+#: Used by a local master without a folder of its own, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/assay"
 
 
@@ -20,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, removed when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """A new folder under spark.checkpoint.dir, removed when the driver ends. Only a local master may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_CHECKPOINTS
     path = f"{base.rstrip('/')}/assay-{uuid.uuid4().hex}"
     sc = spark.sparkContext
 

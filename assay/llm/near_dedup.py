@@ -36,8 +36,9 @@ BANDS = 32
 LOW, HIGH = 0.66, 0.95
 #: Rounds of stars with new centres, before all that is left is compared.
 STAR_ROUNDS = 2
-#: Members of a bucket that meet in one task: outsiders, and all.
-ROWS, COLUMNS = 512, 2048
+#: Members of a bucket that meet in one task, outsiders and all, and their shingles: what comes first bounds.
+ROWS, COLUMNS = 384, 1024
+ROW_CELLS, COLUMN_CELLS = 500_000, 2_000_000
 FIRST_RANGE = -7  # ranks below 2**-7 are the first range
 
 
@@ -190,39 +191,52 @@ def mixed_buckets(members: DataFrame, label: DataFrame, path: str) -> DataFrame:
     return written(placed.join(main.select("band", "key", "main"), ["band", "key"]), f"{path}/mixed")
 
 
+def shingle_cells(texts: DataFrame) -> DataFrame:
+    """(node, n, cells): per text the hashes of its shingles in order, repeated ones told apart, as bytes. texts: node, text."""
+
+    def run(batch):
+        for lo, part in portions(batch.column("text").to_pylist()):
+            words, at = word_hashes(part)
+            cells = []
+            for i in range(len(part)):
+                h, w = shingle_set(words[at[i] : at[i + 1]]) if at[i + 1] > at[i] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                cells.append(np.sort(mix(np.repeat(h, w) + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+            yield {"node": batch.column("node").slice(lo, len(part)), "n": [len(c) for c in cells], "cells": [c.tobytes() for c in cells]}
+
+    return arrow_map(texts, run, "node long, n long, cells binary")
+
+
 def exact_links(mixed: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     """Links that join components, from all pairs of a bucket's members outside its main component with all its members.
 
-    Outsiders go in blocks of ROWS, members in chunks of COLUMNS; a task has one of each, with their texts, takes all their similarities at
-    once as matrix products, and returns what joins components: fewer links than it has members."""
+    Each text is hashed once. Outsiders go in blocks, members in chunks, both bounded in rows and in shingles (a longer text is one of its own); a task has
+    one of each, takes all their similarities at once as matrix products, and returns what joins components: fewer links than it has members."""
     out = F.col("comp") != F.col("main")
-    size = mixed.groupBy("band", "key").agg(F.count("*").alias("n"), F.count_if(out).alias("m"))
-    size = size.select("band", "key", F.ceil(F.col("m") / ROWS).cast("int").alias("blocks"), F.ceil(F.col("n") / COLUMNS).cast("int").alias("chunks"))
+    need = written(mixed.select(F.col("node").alias("doc_id")).distinct(), f"{path}/exact_need")
+    texts = docs.join(hinted(need), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).withColumnRenamed("doc_id", "node")
+    cells = written(shingle_cells(texts.select("node", "text")), f"{path}/cells")
+    mixed = mixed.join(cells.select("node", F.col("n").alias("own")), "node")
+    size = mixed.groupBy("band", "key").agg(F.count("*").alias("n"), F.count_if(out).alias("m"), F.sum("own").alias("w"), F.sum(F.when(out, F.col("own")).otherwise(0)).alias("v"))
+    parts = lambda rows, most, held, cells_: F.greatest(F.lit(1), F.ceil(F.col(rows) / most), F.ceil(F.col(held) / cells_)).cast("int")
+    size = size.select("band", "key", parts("m", ROWS, "v", ROW_CELLS).alias("blocks"), parts("n", COLUMNS, "w", COLUMN_CELLS).alias("chunks"))
     m = mixed.join(size, ["band", "key"])
     pick = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = m.where(out).select("band", "key", "node", "comp", F.lit(True).alias("row"), pick("blocks", 1).alias("block"), every("chunks").alias("chunk"))
     cols = m.select("band", "key", "node", "comp", F.lit(False).alias("row"), every("blocks").alias("block"), pick("chunks", 2).alias("chunk"))
-    need = written(mixed.select(F.col("node").alias("doc_id")).distinct(), f"{path}/exact_need")
-    texts = docs.join(hinted(need), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).withColumnRenamed("doc_id", "node")
 
     def link(pdf):
         import pandas as pd
 
         rows, cols = pdf[pdf["row"]], pdf[~pdf["row"]]
-        sets, comps, at = {}, dict(zip(pdf["node"], pdf["comp"])), {}
-        for node, text in zip(pdf["node"], pdf["text"]):
-            if node not in sets:
-                words, _ = word_hashes([text])
-                h, w = shingle_set(words)
-                copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-                sets[node] = mix(np.repeat(h, w) + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sets, comps, at = {n: np.frombuffer(c, np.uint64) for n, c in zip(pdf["node"], pdf["cells"])}, dict(zip(pdf["node"], pdf["comp"])), {}
         a, b = rows["node"].tolist(), cols["node"].tolist()
-        cells, both = np.unique(np.concatenate([sets[x] for x in sets]), return_counts=True)
-        cells = cells[both > 1]  # what one text alone has is in no intersection
+        known, both = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        known = known[both > 1]  # what one text alone has is in no intersection
         inter = np.zeros((len(a), len(b)), np.float32)
-        for lo in range(0, len(cells), 8192):
-            part = cells[lo : lo + 8192]
+        for lo in range(0, len(known), 8192):
+            part = known[lo : lo + 8192]
 
             def matrix(nodes):
                 x = np.zeros((len(nodes), len(part)), np.float32)
@@ -248,7 +262,7 @@ def exact_links(mixed: DataFrame, docs: DataFrame, path: str) -> DataFrame:
                 found.append((a[i], b[j]))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return rows.unionByName(cols).join(texts, "node").groupBy("band", "key", "block", "chunk").applyInPandas(link, "a long, b long")
+    return rows.unionByName(cols).join(cells.select("node", "cells"), "node").groupBy("band", "key", "block", "chunk").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
