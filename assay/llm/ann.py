@@ -4,9 +4,10 @@ A vector x gets one more component, sqrt(M*M - x.x) with M the greatest length,
 least Euclidean distance, D*D = q.q + M*M - 2 q.x. All are projected to DIMENSIONS Gaussian (2-stable) directions, where the squared
 distance of two points is D*D times a chi-square variable. Projected points lie in a kd-tree; the leaves come in order of
 their projected distance to the query, and their points are verified by exact inner product, until the next leaf is so far that a
-true neighbour nearer than the k-th one found so far would, with probability CONFIDENCE, have come before it.
+true neighbour nearer than the k-th one found so far would, with probability CONFIDENCE, have come before it. Queries go together: in each round a leaf meets
+all queries that still ask for it.
 
-The top of the tree is split on a bounded sample and deals all rows to cells of about CELL_ROWS rows; a cell that ties or copies overfill is
+The top of the tree is split on a bounded sample and deals all rows to cells of about CELL_ROWS rows, MAX_CELLS at most; a cell that ties or copies overfill is
 salted into shards. First each query searches a shard of its own cell, which bounds its k-th distance; then it goes to just those
 shards whose boxes pass the chi-square test with that bound. Shards and their queries meet by a cogroup, so no task holds more than a
 shard and its queries' vectors, and no two full tables are paired.
@@ -36,6 +37,8 @@ CELL_ROWS = 8192
 SAMPLE_ROWS = 50_000
 LEAF_ROWS = 64
 QUERY_BLOCK = 4096
+#: Cells at most, whose boxes the driver holds; of more rows, cells get larger and are salted into more shards.
+MAX_CELLS = 16_384
 
 
 @lru_cache(maxsize=16)
@@ -118,31 +121,75 @@ class Leaves:
         self.low = np.array([points[r].min(axis=0) for r in done])
         self.high = np.array([points[r].max(axis=0) for r in done])
 
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of points (rows) to the leaves' boxes (columns)."""
+        out = np.zeros((len(q), len(self.rows)))
+        for d in range(q.shape[1]):
+            gap = np.maximum(0, np.maximum(self.low[None, :, d] - q[:, d, None], q[:, d, None] - self.high[None, :, d]))
+            out += gap * gap
+        return out
+
 
-def search(ids, vectors, leaves: Leaves, q_id, q, q_projected, span: float, k: int, bound: float, confidence: float = CONFIDENCE):
-    """The k best (score, id) of a shard for one query, best first; bound: a squared distance that the k-th neighbour doesn't exceed, or inf."""
-    stop = chi_square_quantile(confidence, q_projected.shape[0])
-    qq = float((q * q).sum()) + span
-    near = box_distance(q_projected, leaves.low, leaves.high)
-    order = np.argsort(near, kind="stable")
-    kth, step, at = bound, 1, 0
-    best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-    while at < len(order) and near[order[at]] < kth * stop:
-        take = order[at : at + step]
-        take = take[near[take] < kth * stop]
-        at, step = at + step, step * 2
-        rows = np.concatenate([leaves.rows[i] for i in take])
-        rows = rows[ids[rows] != q_id]
-        best_s = np.concatenate([best_s, np.einsum("ij,j->i", vectors[rows], q)])
-        best_i = np.concatenate([best_i, rows])
-        if len(best_s) > k + 8:
-            top = np.lexsort((ids[best_i], -best_s))[: k + 8]
-            best_s, best_i = best_s[top], best_i[top]
-        if len(best_s) >= k:
-            kth = min(kth, qq - 2 * np.partition(best_s, len(best_s) - k)[len(best_s) - k] + 1e-9)
-    exact = np.array([math.fsum((vectors[i] * q).tolist()) for i in best_i])
-    top = np.lexsort((ids[best_i], -exact))[:k]
-    return exact[top], ids[best_i[top]]
+class Shard:
+    """Rows that are searched together. Equal vectors are one, with their ids in order, so that copies neither cost time nor make ties."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray):
+        raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
+        _, first, inverse = np.unique(raw, return_index=True, return_inverse=True)
+        order = np.lexsort((ids, inverse))
+        self.ids = np.split(ids[order], np.cumsum(np.bincount(inverse))[:-1])
+        self.vectors, self.leaves = vectors[first], Leaves(points[first])
+        self.only = np.array([i[0] if i[0] == i[-1] else -1 for i in self.ids]), np.array([i[0] == i[-1] for i in self.ids])
+
+    def search(self, q_ids, q, q_projected, span: float, k: int, bound: np.ndarray, confidence: float = CONFIDENCE) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(scores, ids) of the k best for each query, best first; bound: squared distances that the k-th neighbours don't exceed, or inf.
+
+        Leaves go in rounds of 1, 2, 4, ... by their projected distance to each query; a round takes, leaf by leaf, all queries whose stopping test does
+        not hold yet as one matrix product, and the test has the k-th distance that was found before the round."""
+        stop, n, width = chi_square_quantile(confidence, q_projected.shape[1]), len(q), k + 8
+        qq = (q * q).sum(axis=1) + span
+        near = self.leaves.distances(q_projected)
+        order = np.argsort(near, axis=1, kind="stable")
+        kth = bound.astype(float).copy()
+        best, which = np.full((n, width), -np.inf), np.full((n, width), -1, np.int64)
+        at, step = 0, 1
+        while at < order.shape[1]:
+            part = order[:, at : at + step]
+            who, column = np.nonzero(np.take_along_axis(near, part, axis=1) < (kth * stop)[:, None])
+            if not len(who):
+                break
+            leaf = part[who, column]
+            turn = np.argsort(leaf, kind="stable")
+            who, leaf = who[turn], leaf[turn]
+            for own in np.split(np.arange(len(who)), np.flatnonzero(np.diff(leaf)) + 1):
+                rows, asking = self.leaves.rows[leaf[own[0]]], who[own]
+                s = q[asking] @ self.vectors[rows].T
+                s[self.only[1][rows][None, :] & (self.only[0][rows][None, :] == q_ids[asking][:, None])] = -np.inf  # a query's own row is no candidate
+                hit = s.max(axis=1) > best[asking, -1]
+                if not hit.any():
+                    continue
+                asking, s = asking[hit], s[hit]
+                both = np.concatenate([best[asking], s], axis=1)
+                names = np.concatenate([which[asking], np.broadcast_to(rows, s.shape)], axis=1)
+                top = np.argpartition(-both, width - 1, axis=1)[:, :width]
+                both, names = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
+                least = np.argmin(both, axis=1)
+                for x in (both, names):  # the least stands last
+                    i = np.arange(len(x))
+                    x[i, least], x[i, -1] = x[i, -1].copy(), x[i, least].copy()
+                best[asking], which[asking] = both, names
+            found = -np.partition(-best, k - 1, axis=1)[:, k - 1]
+            kth = np.where(np.isfinite(found), np.minimum(kth, qq - 2 * found + 1e-9), kth)
+            at, step = at + step, step * 2
+        out = []
+        for i in range(n):
+            rows = which[i][np.isfinite(best[i])]
+            exact = [math.fsum((self.vectors[r] * q[i]).tolist()) for r in rows]
+            own = [self.ids[r][self.ids[r] != q_ids[i]][: k] for r in rows]
+            score, ids = np.repeat(exact, [len(x) for x in own]), np.concatenate(own) if own else np.zeros(0, np.int64)
+            top = np.lexsort((ids, -score))[:k]
+            out.append((score[top], ids[top]))
+        return out
 
 
 def usable(embeddings: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
@@ -183,7 +230,7 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = 20, id_col:
     rows = written(arrow_map(v, project, "vec_id long, x binary, p binary, pq binary"), f"{path}/rows")
     share = min(1.0, SAMPLE_ROWS / n)
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("p").collect()  # about SAMPLE_ROWS rows at most
-    split = Split(_stack([r[0] for r in sample]) if sample else np.zeros((0, m)), math.ceil(n / cell_rows))
+    split = Split(_stack([r[0] for r in sample]) if sample else np.zeros((0, m)), min(MAX_CELLS, math.ceil(n / cell_rows)))
 
     def dealt(batch):
         yield {c: batch.column(c) for c in ("vec_id", "x", "p")} | {"cell": split.cell(_stack(batch.column("p").to_pylist()))}
@@ -202,9 +249,8 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = 20, id_col:
     cell_id = np.array([r["cell"] for r in found])
     low, high = np.array([r["low"] for r in found]), np.array([r["high"] for r in found])
     salts = np.array([math.ceil(r["n"] / (2 * cell_rows)) for r in found])
-    salt_of = {int(c): int(s) for c, s in zip(cell_id, salts)}
-    salted = F.coalesce(F.create_map(*[F.lit(x) for c, s in salt_of.items() if s > 1 for x in (c, s)])[F.col("cell")], F.lit(1)) if (salts > 1).any() else F.lit(1)
-    base = base.withColumn("salt", F.pmod(F.xxhash64("vec_id", "x"), salted.cast("long")).cast("int"))
+    salted = spark.createDataFrame([(int(c), int(z)) for c, z in zip(cell_id, salts) if z > 1], "cell int, salts int")  # some of the cells
+    base = base.join(F.broadcast(salted), "cell", "left").withColumn("salt", F.pmod(F.xxhash64("vec_id", "x"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("salts")
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("x", "pq")).alias("q")).select(F.col("vec_id").alias("query_id"), F.col("q.x").alias("qx"), F.col("q.pq").alias("qp"))
     stop = chi_square_quantile(confidence, m)
 
@@ -221,12 +267,12 @@ def nearest(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = 20, id_col:
 
         if not len(shards) or not len(pdf):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        ids, x = shards["vec_id"].to_numpy(), _stack(list(shards["x"]))
-        leaves = Leaves(_stack(list(shards["p"])))
+        shard = Shard(shards["vec_id"].to_numpy(), _stack(list(shards["x"])), _stack(list(shards["p"])))
+        ids, q, p, bound = pdf["query_id"].to_numpy(), _stack(list(pdf["qx"])), _stack(list(pdf["qp"])), pdf["bound"].to_numpy()
         out = []
-        for q_id, qx, qp, bound in zip(pdf["query_id"], pdf["qx"], pdf["qp"], pdf["bound"]):
-            s, i = search(ids, x, leaves, q_id, np.frombuffer(qx, "<f8"), np.frombuffer(qp, "<f8"), span, k, bound, confidence)
-            out.append((np.full(len(s), q_id), i, s))
+        for at in range(0, len(ids), 512):
+            part = slice(at, at + 512)
+            out += [(np.full(len(s), i), n, s) for i, (s, n) in zip(ids[part], shard.search(ids[part], q[part], p[part], span, k, bound[part], confidence))]
         a, b, c = (np.concatenate(z) for z in zip(*out))
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
 

@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Q
     hashed = F.xxhash64("doc_id", F.lit(5)).bitwiseAND(0xFFFFFFFF)
     limit = min(1 << 32, int(sample_rows / n * (1 << 32)))
     # the sample is bounded, so its ids may be broadcast
-    rows = docs.where(hashed < limit).join(F.broadcast(known.where(hashed < limit)), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "text").collect()
+    rows = docs.select("doc_id", "text").where(hashed < limit).join(F.broadcast(known.where(hashed < limit)), "doc_id").select("doc_id", "text", "quality").orderBy("doc_id", "text").collect()
     return fit_rows([r["text"] for r in rows], np.array([r["quality"] for r in rows], np.float64))
 
 

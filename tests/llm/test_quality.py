@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from assay.llm import quality as Q
@@ -26,11 +25,11 @@ def test_blocked_neighbours_equal_all_at_once():
 
 def test_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 0, None), (None, 1, 0), (6, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
-    docs = odd_docs.withColumn("held_out", Q.held_out())
+    docs = odd_docs.withColumn("held_out", Q.held_out()).selectExpr("*", "'x' as quality", "'x' as toxic", "'x' as predicted")
     m = Q.fit(docs.where(~F.col("held_out")), labels)
-    got = Q.score(docs.select("doc_id", "text", "held_out"), m)
+    got = Q.score(docs, m)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
     assert got.count() == docs.count() and got.where("score is null or score < 0 or score > 1").count() == 0
     none = Q.fit(docs, labels.where("false"))
     assert {r[0] for r in Q.score(docs.select("doc_id", "text", "held_out"), none).select("score").collect()} == {0.5}
     assert Q.score(no_docs.withColumn("held_out", Q.held_out()).select("doc_id", "text", "held_out"), m).count() == 0
-    assert isinstance(pd.DataFrame(), pd.DataFrame)
