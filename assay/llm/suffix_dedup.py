@@ -31,7 +31,7 @@ from .common import _arrow_schema, arrow_map, hinted, mix, prefix_hashes, scratc
 LENGTH = 200
 CONTEXT = 40
 SLICE = 1 << 19
-HOT_GROUP = 1_500
+HOT_GROUP = 5_000
 HOT_KEY = 2_000
 KEYS = ["key", "key2"]  # 128 bits of a row's id and text
 _LOW = np.uint64((1 << 20) - 1)
