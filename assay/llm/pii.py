@@ -5,8 +5,8 @@ spelled digits, at/dot words) rewrite it to a normal form that remembers which s
 character came from; the same detectors run over that form, and what they find maps back to source spans.
 
 Defined results: a null or empty text has no spans; null ids stay null; repeated rows each give their own row;
-texts of any length are read whole; extra columns of the input are not read. A disguised find that overlaps a base span of its kind is
-not added.
+texts of any length are read whole; extra columns of the input are not read. A disguised find within a base span of its kind is not
+added; one that reaches beyond it is, as the base span then holds only a part of the identifier.
 """
 
 from __future__ import annotations
@@ -99,22 +99,25 @@ DIGIT_WORDS = {
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SEP = r"[ \t,.\-]{1,3}"
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|\ dot\ |_dot_)"
+# Blanks around a bare word: up to three, or one line break, as wrapped text has it.
+_GAPS = r"(?:[ \t]{1,3}|[ \t]{0,2}\r?\n[ \t]{0,2})"
+_DOT = rf"(?:{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}|{_GAPS}dot{_GAPS}|_dot_|[。．])"
 # Endings for which "name at host dot end" is an address whatever stands around them.
 _ENDS = "com|org|net|edu|gov|info|biz|io|eu|de|fr|es|uk|it|ch|at|us|co|me|test|example|invalid"
 # Any other ending of letters will do, unless the words around a bare "dot" make it a noun: a determiner before it, or a
 # word behind it that joins clauses or phrases (none of three letters or more is a top-level domain).
-_NOUN = r"(?:the|an?|this|that|these|those|each|every|any|some|no|another|which|what|my|your|his|her|its|our|their)\ dot\b"
+_NOUN = rf"(?:the|an?|this|that|these|those|each|every|any|some|no|another|which|what|my|your|his|her|its|our|their){_GAPS}dot\b"
 _JOINS = r"(?:and|the|for|was|were|are|but|nor|that|this|with|from|which|when|where|while|because|had|has|have|than|then|who|into|onto|over|under|after|before|until|about|between|near|not|you|they|she)\b"
 _HOST = r"[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){0,3}"
 _MORE = rf"(?:[a-z0-9-]{{1,63}}(?:{_DOT}|\.)){{0,3}}"
 _BARE = rf"(?:{_HOST}{_DOT}{_MORE}(?:{_ENDS})\b|(?!{_NOUN}){_HOST}{_DOT}(?!{_JOINS}){_MORE}[a-z]{{2,63}}\b)"
 _TOKEN = re.compile(
-    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9])\ at\ (?={_BARE})|(?<=[a-z0-9])\ @\ (?=[a-z0-9]))"
+    rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[a-z0-9])_at_(?=[a-z0-9])|(?<=[a-z0-9]){_GAPS}at{_GAPS}(?={_BARE})|(?<=[a-z0-9])[ \t]{{1,3}}@[ \t]{{1,3}}(?=[a-z0-9]))"
     rf"|(?P<dot>(?<=[a-z0-9]){_DOT}(?=[a-z0-9]))"
     r"|(?P<digits>(?<![^\W_])(?=[OoIl|]{0,18}[0-9])(?=[0-9]{0,18}[OoIl|])[0-9OoIl|]{2,19}(?![^\W_]))"
     r"|(?P<lone>(?<![^\W_])(?-i:[OoIl|])(?![^\W_]))"
-    rf"|(?P<plus>\bplus\ (?=(?:{_WORDS}|[0-9])\b))"
+    # a number whose dots mark thousands is an amount
+    rf"|(?P<plus>\bplus[ \t]{{1,3}}(?=(?:{_WORDS})\b|(?![0-9]{{1,3}}(?:\.[0-9]{{3}})+(?![0-9.]))[0-9]))"
     rf"|(?P<word>(?:(?<=[0-9])|\b)(?:{_WORDS})\b(?:(?={_SEP}(?:(?:{_WORDS})\b|[0-9]))|(?<=[^\W_])))"
     r"|(?P<char>[^\x00-\x7f])",
     re.I,
@@ -152,9 +155,9 @@ def plain(c: str) -> str:
 # What a disguise needs: each pattern is wider than the tokens it stands for. The last three read lower case.
 _LATIN = "".join(c for c in map(chr, range(0x80, 0x100)) if plain(c) != c)
 _ODD = re.compile(rf"[^\x00-\xff]|[{_LATIN}]|[0-9][OoIiLl|]|[OoIiLl|][0-9]|[0-9][.\- ][OoIl|](?![^\W_])|(?<![^\W_])[OoIl|][.\- ][0-9]")
-_MARKS = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|punkt|point|punto|\.)\s{0,3}[\])}>]|_(?:at|dot)_| (?:dot|@) ")
+_MARKS = re.compile(r"[\[({<]\s{0,3}(?:at|@|dot|punkt|point|punto|\.)\s{0,3}[\])}>]|_(?:at|dot)_|[ \t\n](?:dot|@)[ \t\r\n]")
 _SPELLED = re.compile(rf"[\W0-9](?:{_WORDS}){_SEP}(?:{_WORDS}|[0-9])|[0-9]{_SEP}(?:{_WORDS})\b")
-_PLUS = re.compile(rf"plus (?:{_WORDS}|[0-9])")
+_PLUS = re.compile(rf"plus[ \t]{{1,3}}(?:{_WORDS}|[0-9])")
 
 
 def may_hide(text: str) -> bool:
@@ -231,7 +234,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         for s, e in DETECT[kind](form.text):
             s, e, hidden = form.back(s, e)
             i = bisect_right(starts, s)
-            if hidden and not (i and own[i - 1][1] > s) and not (i < len(own) and own[i][0] < e):
+            if hidden and not (i and own[i - 1][1] >= e):
                 added.append((kind, s, e))
     if not added:
         return base, base
@@ -255,16 +258,16 @@ def redact(text: str, spans: list[Span]) -> str:
 
 # ---------------------------------------------------------------- operators
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, counts of base spans by kind, a digest of the base spans, all spans, and n_added."""
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    """Per row: the id, counts of base spans by kind, a digest of the base spans, all spans, how many of them the method added, and how many there are."""
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
     def run(batch):
         rows = []
         for t in batch.column("text").to_pylist():
             base, every = all_spans(t or "")
             n = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-            rows.append((*n, sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
-        names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+            rows.append((*n, sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), len(every)))
+        names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans"]
         yield {"doc_id": batch.column("doc_id")} | {c: list(v) for c, v in zip(names, zip(*rows))}
 
     return arrow_map(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, schema)

@@ -89,7 +89,7 @@ def test_redaction_and_odd_rows(spark, odd_docs, no_docs):
     assert P.find_pii(no_docs).count() == 0 and P.redact_documents(no_docs).count() == 0
 
 
-PARTS = ["o", "O", "0", "1", "l", "i", "L", "|", "a", "5", ".", " ", "-", "_", "+", "x", "one", "Two", "fünf", "un", "plus ", " plus", "at", " at ", "dot", " dot ", "_at_", "_dot_", "[", "]", "@", " @ ", "\n", "com", "é", "É", "ª", "º", "²", "\xa0", "\xad", "·", "’"]
+PARTS = ["o", "O", "0", "1", "l", "i", "L", "|", "a", "5", ".", " ", "-", "_", "+", "x", "one", "Two", "fünf", "un", "plus ", " plus", "plus\t4", "plus 49", "\t", "  ", "\r\n", "at", " at ", "dot", " dot ", "_at_", "_dot_", "[", "]", "@", " @ ", "\n", "com", "é", "É", "ª", "º", "²", "\xa0", "\xad", "·", "’"]
 
 
 @given(st.lists(st.sampled_from(PARTS), max_size=9).map("".join))
@@ -123,3 +123,59 @@ def test_any_ending_and_lone_letters(text, kind, piece):
 @pytest.mark.parametrize("text", ["Look at this dot and see.", "He aimed at every dot he saw.", "They stared at blue dot after blue dot.", "We met at one dot and left.", "In 2019 I had 3 l of milk.", "The I.O.I. and O.O.O.O agree", "Take 5 o clock | 6 I say 7"])
 def test_prose_with_dots_and_letters_stays_clean(text):
     assert P.all_spans(text) == ([], [])
+
+
+# ---------------------------------------------------------------- disguises drawn at random
+# Each identifier is written in a disguise and put into clean prose. The plain way to know the right answer is to have put it there.
+NAMES, HOSTS = ["jane", "tom.lee", "m_weber", "info9"], ["example", "mail", "firma-x"]
+AT = [" at ", " AT ", " [at] ", "(at)", "{ at }", "<AT>", " @ ", "_at_", "  at  ", "\tat\t", " at\n", "＠"]
+DOT = [" dot ", " [dot] ", "(dot)", " Dot ", "_dot_", "{.}", "  dot  ", "\ndot ", "。", "．", " (punkt) "]
+FAR = {c: [chr(0xFF10 + i), chr(0x0660 + i), chr(0x1D7CE + i)] for i, c in enumerate("0123456789")}
+ENGLISH = "zero one two three four five six seven eight nine".split()
+TWINS = {"a": "а", "e": "е", "o": "о", "m": "ｍ", "i": "і"}
+CLEAN = st.sampled_from(["", "Please write to ", "The list follows: ", "Voilà, notez bien: ", "Wir haben es gehört: "])
+
+
+def changed(draw, text, table):
+    """The text with a drawn, non-empty choice of its characters exchanged."""
+    at = [i for i, c in enumerate(text) if c in table]
+    chosen = draw(st.sets(st.sampled_from(at), min_size=1))
+    return "".join(draw(st.sampled_from(list(table[c]))) if i in chosen else c for i, c in enumerate(text))
+
+
+@st.composite
+def hidden(draw):
+    kind = draw(st.sampled_from(["email", "email_twin", "ip", "card", "phone", "plus"]))
+    if kind == "email":
+        hosts = [draw(st.sampled_from(HOSTS)) for _ in range(draw(st.integers(1, 2)))] + [draw(st.sampled_from(["com", "nl", "dev", "io"]))]
+        return "email", draw(st.sampled_from(NAMES)) + draw(st.sampled_from(AT)) + draw(st.sampled_from(DOT)).join(hosts)
+    if kind == "email_twin":
+        return "email", changed(draw, "jane.moore@mail.example.com", TWINS)
+    if kind == "ip":
+        parts = [str(draw(st.integers(0, 255))) for _ in range(4)]
+        return "ip", draw(st.sampled_from([" dot ", "(dot)", "．", "。"])).join(parts) if draw(st.booleans()) else changed(draw, ".".join(parts), FAR)
+    digits = "".join(draw(st.sampled_from("0123456789")) for _ in range(15))
+    if kind == "card":
+        number = next(digits + c for c in "0123456789" if P.luhn(digits + c))
+        if draw(st.booleans()):
+            return "card", changed(draw, number, FAR)
+        return "card", draw(st.sampled_from([" ", ", ", "-"])).join(ENGLISH[int(c)] for c in number)
+    if kind == "phone":
+        return "phone", "+" + changed(draw, f"{digits[:2]} {digits[2:5]} {digits[5:12]}", FAR)
+    gap, rest = draw(st.sampled_from([" ", "  ", "\t"])), digits[: draw(st.integers(9, 12))]
+    spelled = " ".join(ENGLISH[int(c)] for c in rest)
+    return "phone", f"plus{gap}" + draw(st.sampled_from([rest, " ".join(rest), spelled, f"{rest[:2]} {rest[2:5]} {rest[5:]}"]))
+
+
+@given(CLEAN, hidden(), st.sampled_from([" today.", "\nThanks", "!", " (see below)"]))
+@settings(max_examples=3000, deadline=None)
+def test_drawn_disguises_are_found_where_they_stand(before, case, behind):
+    kind, piece = case
+    text = before + piece + behind
+    spans = [(k, text[s:e]) for k, s, e in P.all_spans(text)[1]]
+    assert (kind, piece) in spans, (text, spans)
+
+
+@pytest.mark.parametrize("text", ["We sold 12 plus 1.500.000.000 more", "a dot\n\nat noon", "He looked at it\n\nDot came", "ten plus 49 others"])
+def test_sums_and_breaks_stay_clean(text):
+    assert P.all_spans(text) == ([], [])
