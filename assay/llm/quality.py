@@ -111,8 +111,9 @@ def fit_rows(texts: list[str | None], labels: np.ndarray, dimensions: int = DIME
     q = np.random.default_rng(1).standard_normal((N_TERMS, min(d + 16, len(x)))).astype(np.float32)
     for _ in range(3):
         q, _ = np.linalg.qr(x.T @ (x @ q))
-    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
-    projection = (q @ vt[:d].T).astype(np.float32)
+    _, spread, vt = np.linalg.svd(x @ q, full_matrices=False)
+    # a sample of repeated rows spans fewer directions; one that it has no spread in would be arbitrary
+    projection = (q @ vt[:d][spread[:d] > 1e-4 * spread[0]].T).astype(np.float32)
     v = x @ projection
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     return QualityModel(idf, projection, v, np.asarray(labels, np.float64), float(np.mean(labels)))

@@ -33,3 +33,44 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = Q.fit(docs, labels.where("false"))
     assert {r[0] for r in Q.score(docs.select("doc_id", "text", "held_out"), none).select("score").collect()} == {0.5}
     assert Q.score(no_docs.withColumn("held_out", Q.held_out()).select("doc_id", "text", "held_out"), m).count() == 0
+
+
+def test_query_equals_a_plain_version(spark):
+    """Exact singular vectors, one cosine at a time and a sorted list of votes, on all labelled rows that may be learned from."""
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    label = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in docs}
+    known = [(t, float(label[i])) for i, t in docs if not held[i] and label.get(i) is not None]
+    x = Q.term_weights([t for t, _ in known]).astype(float)
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.5
+    _, spread, vt = np.linalg.svd(x * idf, full_matrices=False)
+    space = vt[: Q.DIMENSIONS][spread[: Q.DIMENSIONS] > 1e-4 * spread[0]].T
+    unit = lambda v: v / max(1e-9, float(np.sqrt((v * v).sum())))
+    near, prior = [(unit(v * idf @ space), y) for v, (_, y) in zip(x, known)], sum(y for _, y in known) / len(known)
+    got = {r["doc_id"]: r for r in Q.op2_quality(spark, sf).collect()}
+    assert set(got) == {i for i, _ in docs} and all(got[i]["held_out"] == held[i] for i in got)
+    off, other = [], 0
+    for i, t in docs:
+        v = unit(Q.term_weights([t])[0].astype(float) * idf @ space)
+        votes = sorted(((max(0.0, float(v @ u)) ** 8, y) for u, y in near), reverse=True)[: Q.NEIGHBOURS]
+        want = (sum(w * y for w, y in votes) + 0.05 * prior) / (sum(w for w, _ in votes) + 0.05)
+        off.append(abs(got[i]["score"] - want))
+        other += (want >= 0.5) != bool(got[i]["predicted"])
+    # the operator's singular vectors come from a randomised range, so its last few dimensions may turn
+    assert max(off) < 0.05 and np.mean(off) < 0.01 and other <= 0.01 * len(docs)
+
+
+def test_terms_equal_a_plain_count():
+    """Shape pairs and single shapes of a text, counted one by one."""
+    text = "Ab 1. Ünd\n\nso: Ab, ab!"
+    shape = lambda c: 1 if 65 <= c < 91 else 2 if 48 <= c < 58 else 4 + len(Q._SIGNS) if c == 10 else 3 if c in (9, 11, 12, 13, 32) else 4 + Q._SIGNS.index(c) if c in Q._SIGNS else 0
+    s = [shape(c) for c in text.encode()]
+    row, pairs = Q.term_weights([text])[0], list(zip(s, s[1:]))
+    for a, b in set(pairs):
+        assert abs(row[Q.WORD_TERMS + a * 64 + b] ** 2 - pairs.count((a, b)) / len(pairs)) < 1e-6
+    start = Q.WORD_TERMS + Q.PAIR_TERMS + Q.TRIPLE_TERMS
+    for a in set(s):
+        assert abs(row[start + a] ** 2 - s.count(a) / len(s)) < 1e-6
